@@ -102,11 +102,13 @@ def _open_ranks(users: DataFrame, taken: DataFrame, n_ranks: int, k: int) -> Dat
         .agg(F.collect_list("rank").alias("taken"))
     )
     by_user = Window.partitionBy("user_id").orderBy("bucket")
-    first, last = F.col("bucket") * width + 1, F.least((F.col("bucket") + 1) * width, F.lit(n_ranks))
+    first = F.col("bucket") * width + 1
+    last = F.least((F.col("bucket") + 1) * width, F.lit(n_ranks))
+    every = F.sequence(first, last)
     runs = (
-        filled.withColumn("open", F.array_except(F.sequence(first, last), F.col("taken").cast("array<bigint>")))
-        .withColumn("position", F.row_number().over(by_user) - 1)
+        filled.withColumn("position", F.row_number().over(by_user) - 1)
         .filter(F.col("position") == F.col("bucket"))
+        .withColumn("open", F.array_except(every, F.col("taken").cast("array<bigint>")))
         .withColumn(
             "open_before",
             F.coalesce(
