@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tastegrid.functions.columns import is_positive
 from tastegrid.operators.ordering import ordered_index
+from tastegrid.operators.ranking import popularity_ranking
 from tastegrid.session import materialize
 
 
@@ -123,7 +124,10 @@ def require_rows(frame: DataFrame, message: str) -> None:
 
 @dataclass(frozen=True)
 class Training:
-    """What every recommender needs from a log, read once and written down."""
+    """What every recommender needs from a log, read once and written down.
+
+    `popularity` is the ranked catalog: item_id, popularity and place.
+    """
 
     seen: DataFrame
     popularity: DataFrame
@@ -136,4 +140,5 @@ class Training:
 def training(log: DataFrame, label: str = "label") -> Training:
     """Positive pairs and catalog popularity of a training log."""
     seen = materialize(positive_pairs(log, label))
-    return Training(seen, materialize(item_popularity(seen, catalog(log))))
+    popularity = item_popularity(seen, catalog(log))
+    return Training(seen, materialize(popularity_ranking(popularity)))

@@ -309,16 +309,19 @@ def oracle_queries() -> dict[str, str]:
                 SELECT batch, user_id, item_id, ln(sum(exp(logit))) - max(logit) FILTER (WHERE own) AS loss
                 FROM logits GROUP BY batch, user_id, item_id)
             GROUP BY batch""").replace("\n\n            , user_vectors", ", user_vectors"),
-        "topk_per_user": _with(("click_log",), f"""
+        "topk_per_user": _with(("click_log", "clicks"), f"""
             SELECT user_id, CAST(rank AS INTEGER) AS rank, item_id, round(score, 6) AS score FROM (
-                SELECT *, row_number() OVER (PARTITION BY user_id
-                    ORDER BY round(score, 9) DESC, popularity DESC, CAST(item_id AS VARCHAR)) AS rank
-                FROM (SELECT user_id, item_id, avg(value) AS score, count(*) AS popularity
-                      FROM click_log GROUP BY user_id, item_id))
+                SELECT s.*, row_number() OVER (PARTITION BY s.user_id
+                    ORDER BY round(score, 9) DESC, coalesce(p.popularity, 0) DESC,
+                             CAST(s.item_id AS VARCHAR)) AS rank
+                FROM (SELECT user_id, item_id, avg(value) AS score
+                      FROM click_log GROUP BY user_id, item_id) s
+                LEFT JOIN (SELECT item_id, count(*) AS popularity FROM clicks GROUP BY item_id) p
+                     ON p.item_id = s.item_id)
             WHERE rank <= {K}"""),
         "popularity_rank": _with(("popularity",), """
             SELECT item_id, popularity, row_number() OVER (
-                ORDER BY popularity DESC, CAST(item_id AS VARCHAR)) AS rank FROM popularity"""),
+                ORDER BY popularity DESC, CAST(item_id AS VARCHAR)) AS place FROM popularity"""),
         "popularity_topk": _with(("popular",), """
             SELECT user_id, CAST(rank AS INTEGER) AS rank, item_id, CAST(popularity AS DOUBLE) AS score
             FROM popular"""),

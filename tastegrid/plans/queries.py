@@ -340,15 +340,14 @@ def topk_per_user(spark: SparkSession, folder: str) -> DataFrame:
         X.table(spark, folder, "events").select("event_id", "value"),
         F.col("tie") == F.col("event_id"),
     )
-    scores = log.groupBy("user_id", "item_id").agg(
-        F.avg("value").alias("score"), F.count(F.lit(1)).alias("popularity")
-    )
-    return _digits(top_k(scores, K), "score")
+    scores = log.groupBy("user_id", "item_id").agg(F.avg("value").alias("score"))
+    places = pairs.training(log).popularity.select("item_id", "place")
+    return _digits(top_k(scores.join(places, "item_id"), K), "score")
 
 
 @query
 def popularity_rank(spark: SparkSession, folder: str) -> DataFrame:
-    return popularity_ranking(pairs.training(_train(spark, folder)).popularity)
+    return popularity_ranking(item_popularity(spark, folder))
 
 
 @query
@@ -368,8 +367,8 @@ def fallback_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _neighbors(spark: SparkSession, folder: str) -> DataFrame:
-    seen = materialize(pairs.positive_pairs(_train(spark, folder)))
-    return itemcf.cosine_neighbors(seen, NEIGHBORS)
+    data = pairs.training(_train(spark, folder))
+    return itemcf.cosine_neighbors(data.seen, data.popularity, NEIGHBORS)
 
 
 @query
@@ -385,8 +384,9 @@ def item_neighbors(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def itemcf_scores(spark: SparkSession, folder: str) -> DataFrame:
-    seen = materialize(pairs.positive_pairs(X.events_log(spark, folder)))
-    scores = itemcf.neighbor_scores(seen, itemcf.cosine_neighbors(seen, K))
+    data = pairs.training(X.events_log(spark, folder))
+    near = itemcf.cosine_neighbors(data.seen, data.popularity, K)
+    scores = itemcf.neighbor_scores(data.seen, near)
     return _digits(scores.select("user_id", "item_id", "score"), "score")
 
 
@@ -407,7 +407,9 @@ def itemcf_topk_events(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def dot_topk(spark: SparkSession, folder: str) -> DataFrame:
     users = _embeddings(spark, folder, "user_id")
-    items = _embeddings(spark, folder, "item_id").withColumn("popularity", F.lit(0))
+    vectors = _embeddings(spark, folder, "item_id")
+    places = popularity_ranking(vectors.select("item_id", F.lit(0).alias("popularity")))
+    items = vectors.join(places, "item_id")
     same = users.select("user_id", F.col("user_id").alias("item_id"))
     return _digits(retrieval.inner_product_top_k(users, items, same, K), "score")
 

@@ -28,9 +28,9 @@ def test_ordered_index_is_dense_and_ordered(spark):
 
 def test_ranking_breaks_ties_by_id_text(spark):
     counts = {9: 2, 10: 2, 3: 5, 20: 0}
-    rows = ranking.popularity_ranking(popularity_frame(spark, counts)).orderBy("rank").collect()
+    rows = ranking.popularity_ranking(popularity_frame(spark, counts)).orderBy("place").collect()
     assert [r["item_id"] for r in rows] == [3, 10, 9, 20]
-    assert [r["rank"] for r in rows] == [1, 2, 3, 4]
+    assert [r["place"] for r in rows] == [1, 2, 3, 4]
 
 
 @pytest.mark.parametrize("head_size", [1, 4, 10_000])
@@ -45,7 +45,8 @@ def test_first_unseen_equals_a_full_scan(spark, head_size, k):
     users = list(range(10)) + [20, 21]
     found = ranking.first_unseen(
         spark.createDataFrame([(u,) for u in users], "user_id bigint"),
-        pairs_frame(spark, seen), popularity_frame(spark, counts), k, head_size,
+        pairs_frame(spark, seen), ranking.popularity_ranking(popularity_frame(spark, counts)),
+        k, head_size,
     )
     known = set(seen)
     expected = {u: [i for i in order if (u, i) not in known][:k] for u in users}
@@ -54,11 +55,11 @@ def test_first_unseen_equals_a_full_scan(spark, head_size, k):
 
 def test_top_k_orders_and_drops_infinite_scores(spark):
     rows = [
-        (1, 10, 1.0, 1), (1, 9, 1.0, 1), (1, 8, 1.0, 5), (1, 7, float("-inf"), 9),
-        (1, 6, float("nan"), 9), (1, 5, 2.0, 0), (1, 4, 1.0 + 1e-12, 0),
+        (1, 10, 1.0, 4), (1, 9, 1.0, 5), (1, 8, 1.0, 3), (1, 7, float("-inf"), 1),
+        (1, 6, float("nan"), 2), (1, 5, 2.0, 6), (1, 4, 1.0 + 1e-12, 7),
     ]
     scores = spark.createDataFrame(
-        rows, "user_id bigint, item_id bigint, score double, popularity bigint"
+        rows, "user_id bigint, item_id bigint, score double, place bigint"
     )
     assert lists(ranking.top_k(scores, 4))[1] == [5, 8, 10, 9]
     with pytest.raises(ValueError):
