@@ -24,17 +24,14 @@ def ordered_index(df: DataFrame, order: list[Column], name: str = "index") -> Da
             "_offset", F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION_BITS))
         )
     )
-    # One row per partition, so the window and the broadcast stay tiny.
-    before = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        stamped.groupBy("_run")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select("_run", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    )
-    return (
-        stamped.join(F.broadcast(starts), "_run")
-        .withColumn(name, F.col("_start") + F.col("_offset"))
-        .drop("_run", "_offset", "_start")
+    # One row per partition comes back, whatever the number of rows.
+    sizes = dict(stamped.groupBy("_run").count().collect())
+    starts = [0]
+    for run in range(max(sizes, default=0)):
+        starts.append(starts[-1] + sizes.get(run, 0))
+    listed = F.split(F.lit(",".join(map(str, starts))), ",").cast("array<bigint>")
+    return stamped.withColumn(name, F.get(listed, F.col("_run")) + F.col("_offset")).drop(
+        "_run", "_offset"
     )
 
 

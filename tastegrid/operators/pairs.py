@@ -141,4 +141,4 @@ def training(log: DataFrame, label: str = "label") -> Training:
     """Positive pairs and catalog popularity of a training log."""
     seen = materialize(positive_pairs(log, label))
     popularity = item_popularity(seen, catalog(log))
-    return Training(seen, materialize(popularity_ranking(popularity)))
+    return Training(seen, popularity_ranking(popularity))

@@ -197,7 +197,7 @@ def _click_cf(log: str, neighbor_k: int) -> str:
 
 
 def oracle_queries() -> dict[str, str]:
-    split_columns = "user_id, item_id, event_time, label, l_orderkey, l_linenumber"
+    split_columns = "user_id, item_id, CAST(event_time AS VARCHAR) AS event_time, label, l_orderkey, l_linenumber"
     metrics = "round(avg(recall), 6) AS recall, round(avg(hit_rate), 6) AS hit_rate, round(avg(ndcg), 6) AS ndcg"
     one = "p.model = 'popularity' AND p.split = 'validation' AND p.k = 20"
     return {
@@ -211,13 +211,15 @@ def oracle_queries() -> dict[str, str]:
         "load_features": _with(("customer_table",), """
             SELECT 'user' AS side, user_id AS id, segment AS category FROM customer_table
             UNION ALL SELECT 'item', p_partkey, p_brand FROM part"""),
-        "split_roundtrip": _with(("stacked",), "SELECT * FROM stacked"),
+        "split_roundtrip": _with(("stacked",), """
+            SELECT split, user_id, item_id, CAST(event_time AS VARCHAR) AS event_time, label FROM stacked"""),
         "positives": _with(("log",), """
-            SELECT user_id, item_id, event_time, label FROM log WHERE label > 0"""),
-        "strict_future": _with(("strict",), "SELECT user_id, item_id, event_time, label FROM strict"),
+            SELECT user_id, item_id, CAST(event_time AS VARCHAR) AS event_time, label FROM log WHERE label > 0"""),
+        "strict_future": _with(("strict",), """
+            SELECT user_id, item_id, CAST(event_time AS VARCHAR) AS event_time, label FROM strict"""),
         "positive_pairs": _with(("log",), "SELECT DISTINCT user_id, item_id FROM log WHERE label > 0"),
         "first_positive": _with(("log",), """
-            SELECT user_id, item_id, event_time, l_orderkey, l_linenumber FROM (
+            SELECT user_id, item_id, CAST(event_time AS VARCHAR) AS event_time, l_orderkey, l_linenumber FROM (
                 SELECT *, row_number() OVER (PARTITION BY user_id, item_id
                     ORDER BY event_time, l_orderkey, l_linenumber, l_suppkey, l_shipdate) AS nth
                 FROM log WHERE label > 0)
@@ -243,8 +245,8 @@ def oracle_queries() -> dict[str, str]:
         "split_test": _with(("test",), f"SELECT {split_columns} FROM test"),
         "split_summary": _with(("stacked",), """
             SELECT split, count(*) AS interactions, count(DISTINCT user_id) AS users,
-                   count(DISTINCT item_id) AS items, min(event_time) AS start_time,
-                   max(event_time) AS end_time, round(avg(label), 6) AS positive_rate
+                   count(DISTINCT item_id) AS items, CAST(min(event_time) AS VARCHAR) AS start_time,
+                   CAST(max(event_time) AS VARCHAR) AS end_time, round(avg(label), 6) AS positive_rate
             FROM stacked GROUP BY split"""),
         "truth_warm": _with(("test", "items"), """
             SELECT DISTINCT user_id, item_id FROM test

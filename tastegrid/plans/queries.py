@@ -71,6 +71,20 @@ def _embeddings(spark: SparkSession, folder: str, key: str) -> DataFrame:
     )
 
 
+def _micros(column: str) -> Column:
+    """Microseconds since 1970 of a time without zone."""
+    time = F.col(column)
+    days = F.datediff(F.to_date(time), F.lit("1970-01-01").cast("date")).cast("bigint")
+    minutes = F.hour(time) * 60 + F.minute(time)
+    seconds = F.extract(F.lit("SECOND"), time)
+    return (days * 1440 + minutes) * 60_000_000 + (seconds * 1_000_000).cast("bigint")
+
+
+def _timed(frame: DataFrame, *names: str) -> DataFrame:
+    """Times as text, which compares alike in every engine."""
+    return frame.withColumns({name: F.col(name).cast("string") for name in names})
+
+
 # Sources
 
 
@@ -80,7 +94,7 @@ def _as_csv(log: DataFrame, spark: SparkSession, name: str) -> str:
     log.select(
         "user_id",
         F.col("item_id").alias("video_id"),
-        F.unix_micros(F.col("event_time").cast("timestamp")).alias("time_ms"),
+        _micros("event_time").alias("time_ms"),
         F.col("label").alias("is_click"),
         F.col("tie").alias("event_id"),
     ).write.option("header", True).csv(path)
@@ -129,7 +143,8 @@ def split_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "splits")
     sinks.write_splits(X.orders_logs(spark, folder).split(), path)
     stacked = sources.load_prepared(spark, path).stacked()
-    return stacked.select("split", "user_id", "item_id", "event_time", "label")
+    rows = stacked.select("split", "user_id", "item_id", "event_time", "label")
+    return _timed(rows, "event_time")
 
 
 # Rows and pairs
@@ -138,14 +153,15 @@ def split_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def positives(spark: SparkSession, folder: str) -> DataFrame:
     log = X.orders_log(spark, folder)
-    return pairs.positives(log).select("user_id", "item_id", "event_time", "label")
+    rows = pairs.positives(log).select("user_id", "item_id", "event_time", "label")
+    return _timed(rows, "event_time")
 
 
 @query
 def strict_future(spark: SparkSession, folder: str) -> DataFrame:
     logs = X.orders_logs(spark, folder)
     later = cuts.strict_future(logs.history, logs.future)
-    return later.select("user_id", "item_id", "event_time", "label")
+    return _timed(later.select("user_id", "item_id", "event_time", "label"), "event_time")
 
 
 @query
@@ -156,9 +172,10 @@ def positive_pairs(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def first_positive(spark: SparkSession, folder: str) -> DataFrame:
     firsts = pairs.first_positive(X.orders_log(spark, folder))
-    return firsts.select(
+    rows = firsts.select(
         "user_id", "item_id", "event_time", "tie.l_orderkey", "tie.l_linenumber"
     )
+    return _timed(rows, "event_time")
 
 
 @query
@@ -205,9 +222,10 @@ def popularity_norm(spark: SparkSession, folder: str) -> DataFrame:
 
 def _split_rows(spark: SparkSession, folder: str, name: str) -> DataFrame:
     part = getattr(X.orders_logs(spark, folder).split(), name)
-    return part.select(
+    rows = part.select(
         "user_id", "item_id", "event_time", "label", "tie.l_orderkey", "tie.l_linenumber"
     )
+    return _timed(rows, "event_time")
 
 
 @query
@@ -223,7 +241,8 @@ def split_test(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def split_summary(spark: SparkSession, folder: str) -> DataFrame:
     splits = X.orders_logs(spark, folder).split()
-    return _digits(cuts.split_summary(splits.stacked()), "positive_rate")
+    summary = _timed(cuts.split_summary(splits.stacked()), "start_time", "end_time")
+    return _digits(summary, "positive_rate")
 
 
 # Truth

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
 
@@ -31,6 +32,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/tastegrid-{run}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(spark: SparkSession, group: Column, n_groups: int) -> Column:
+    """Relabel group numbers 0..n_groups-1 so that few groups share no task.
+
+    A handful of large groups collide when they are hashed to about as many
+    shuffle partitions. Labels are picked so that their hashes go round the
+    partitions in turn. With many groups the hash is even by itself.
+    """
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if n_groups == 1 or n_groups > 4 * n_parts or n_parts > 2000:
+        return group
+    candidates = spark.range(16 * n_parts * -(-n_groups // n_parts))
+    label = F.col("id").cast("int")
+    homes: dict[int, list[int]] = {}
+    for row in candidates.select(label, F.pmod(F.hash(label), F.lit(n_parts))).collect():
+        homes.setdefault(row[1], []).append(row[0])
+    try:
+        labels = [homes[number % n_parts][number // n_parts] for number in range(n_groups)]
+    except (KeyError, IndexError):
+        return group
+    listed = F.split(F.lit(",".join(map(str, labels))), ",").cast("array<int>")
+    return F.get(listed, group)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write `df` once as a table in the shared folder and read it from there.
 
