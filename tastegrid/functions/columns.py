@@ -30,10 +30,6 @@ def signed_log(value: Column) -> Column:
     return F.signum(value) * F.log1p(F.abs(value))
 
 
-def sigmoid(value: Column) -> Column:
-    return 1.0 / (1.0 + F.exp(-value))
-
-
 def clip_unit(value: Column) -> Column:
     return F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))
 
