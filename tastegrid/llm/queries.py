@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastegrid.llm import langid, tokens
+from tastegrid.llm import decontaminate, langid, mixing, tokens
 from tastegrid.llm.frames import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,3 +47,22 @@ def op4_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.read(spark, dataset).select(
         "doc_id", "start", "n_tokens", tokens.crc32_of("ids").alias("ids_crc32")
     )
+
+
+@query
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+_ORACLES["op3_decontamination"] = decontaminate.LEAKS_SQL
+
+MIX = mixing.Mix(mixing.DEFAULT_WEIGHTS, percent=60, max_epochs=2)
+
+
+@query
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    chosen = mixing.mix_documents(table(spark, folder, "documents"), MIX)
+    return chosen.select("doc_id", *mixing.LEVELS, "epoch", "n_tokens")
+
+
+_ORACLES["op7_mixing"] = mixing.mix_sql(MIX)
