@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastegrid.llm import decontaminate, langid, mixing, tokens
+from tastegrid.llm import decontaminate, langid, mixing, quality, tokens
 from tastegrid.llm.frames import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,3 +66,12 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _ORACLES["op7_mixing"] = mixing.mix_sql(MIX)
+
+
+@query
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    held_out = fold(F.col("doc_id"), 5, 0)
+    model = quality.train(docs.where(~held_out), labels.where(~held_out))
+    found = quality.score(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
