@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastegrid.llm import decontaminate, langid, mixing, quality, tokens
+from tastegrid.llm import decontaminate, jaccard, langid, mixing, quality, tokens
 from tastegrid.llm.frames import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,3 +75,8 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     model = quality.train(docs.where(~held_out), labels.where(~held_out))
     found = quality.score(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query
+def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.join_groups(table(spark, folder, "documents"))
