@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -62,14 +63,22 @@ class Words:
     code: np.ndarray
 
 
-def words(texts: pa.Array, parting: np.ndarray = SPACES, folded: np.ndarray = LOWER) -> Words:
-    """Cut texts at bytes in `parting`; code is a 64-bit hash of the folded word."""
+def words(
+    texts: pa.Array, parting: np.ndarray = SPACES, folded: np.ndarray = LOWER,
+    cuts: Callable[[np.ndarray], np.ndarray] | None = None,
+) -> Words:
+    """Cut texts at bytes in `parting`; code is a 64-bit hash of the folded word.
+
+    `cuts` may name more places, found in the bytes, before which words end.
+    """
     data, offsets = raw(texts)
     inside = ~parting[data]
     before = np.zeros(len(data) + 1, bool)
     before[1:] = inside
     starts_text = np.zeros(len(data) + 1, bool)
     starts_text[offsets] = True
+    if cuts is not None and len(data):
+        starts_text[cuts(data)] = True
     begin = np.flatnonzero(inside & (~before[:-1] | starts_text[:-1]))
     after = np.zeros(len(data) + 1, bool)
     after[:-1] = inside

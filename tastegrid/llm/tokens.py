@@ -18,20 +18,21 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tastegrid.llm.frames import pieces
+from tastegrid.llm.text import LOWER, SPACES, words
 from tastegrid.session import materialize, scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-CACHED_WORDS = 400_000
+#: Distinct parts of words whose ids a worker keeps (about 30 bytes each).
+KNOWN_PARTS = 2_000_000
 SHARD_BYTES = 64 << 20
-#: Words never join across these characters in any tokenizer that drops white space.
-_PARTING = " \t\n\v\f\r"
 
 
 @dataclass
@@ -49,61 +50,125 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-class WordEncoder:
-    """Ids of whole texts, encoded word by word with the ids of recent words kept.
-
-    Right for tokenizers that drop white space and never merge across it.
-    """
+class WholeEncoder:
+    """Ids of whole texts from the tokenizer as it is."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        # An added token may hold or touch anything, so texts with one are encoded whole.
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids and the number of ids of each text; null counts as empty."""
+        found = [self.tokenizer.encode(text or "", add_special_tokens=False).ids for text in texts.to_pylist()]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((one for ids in found for one in ids), np.uint32, counts.sum()), counts
+
+
+class PartEncoder(WholeEncoder):
+    """The same ids, with each distinct part of a word encoded once.
+
+    Right for tokenizers that drop white space, lower letters one by one and
+    part words into runs of letters, single digits, runs of other characters
+    and endings after an apostrophe. Texts are cut only where such a tokenizer
+    always parts them: at white space, between a letter and a digit or mark,
+    at digits. A letter is one of ASCII or of U+00C0 to U+00FF; other
+    characters stay with their neighbours. Texts with the string of a special
+    token are encoded whole. Ids of known parts are kept by a 64-bit hash.
+    """
+
+    def __init__(self, path: str) -> None:
+        super().__init__(path)
         self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def _learn(self, unknown: list[str]) -> None:
-        if len(self.known) + len(unknown) > CACHED_WORDS:
-            self.known.clear()
-        for start in range(0, len(unknown), 4096):
-            part = unknown[start : start + 4096]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[word] = tuple(found.ids)
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids and the number of ids of each text."""
-        flat: list[int] = []
-        counts = np.zeros(len(texts), np.int64)
-        pieces_of = [(text or "").translate(_TO_SPACE).split(" ") for text in texts]
-        fresh = set()
-        for words in pieces_of:
-            fresh.update(words)
-        self._learn([word for word in fresh if word not in self.known])
-        missing = [word for word in fresh if word not in self.known]
-        if missing:  # the cache was emptied
-            self._learn(missing)
-        known = self.known
-        for place, words in enumerate(pieces_of):
-            before = len(flat)
-            text = texts[place] or ""
-            if any(token in text for token in self.special):
-                flat.extend(self.tokenizer.encode(text, add_special_tokens=False).ids)
-            else:
-                for word in words:
-                    flat.extend(known[word])
-            counts[place] = len(flat) - before
-        return np.array(flat, np.uint32), counts
-
-
-_TO_SPACE = {ord(char): " " for char in _PARTING}
+        self.codes = np.zeros(0, np.uint64)
+        self._store(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
+
+    def _store(self, codes: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.codes, self.sizes, self.ids = codes, sizes, ids
+        self.starts = np.cumsum(sizes) - sizes
+
+    def _learn(self, codes: np.ndarray, parts: list[str]) -> None:
+        found = [
+            one.ids
+            for start in range(0, len(parts), 4096)
+            for one in self.tokenizer.encode_batch_fast(parts[start : start + 4096], add_special_tokens=False)
+        ]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter((one for own in found for one in own), np.uint32, sizes.sum())
+        if len(self.codes) + len(codes) <= KNOWN_PARTS:
+            codes, ids = np.append(self.codes, codes), np.append(self.ids, ids)
+            sizes = np.append(self.sizes, sizes)
+        order = np.argsort(codes, kind="stable")
+        starts = np.cumsum(sizes) - sizes
+        self._store(codes[order], sizes[order], ids[_ranges(starts[order], sizes[order])])
+
+    def _place(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = np.searchsorted(self.codes, codes)
+        inside = place < len(self.codes)
+        inside[inside] = self.codes[place[inside]] == codes[inside]
+        return place, inside
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        cut = words(texts, SPACES, LOWER, _part_ends)
+        codes, first, which = np.unique(cut.code, return_index=True, return_inverse=True)
+        place, known = self._place(codes)
+        if not known.all():
+            new = np.flatnonzero(~known)
+            if len(self.codes) + len(new) > KNOWN_PARTS:  # start anew with this batch
+                new = np.arange(len(codes))
+                self._store(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
+            data = cut.data.tobytes()
+            at = zip(cut.begin[first[new]], cut.end[first[new]])
+            self._learn(codes[new], [data[a:b].decode() for a, b in at])
+            place, known = self._place(codes)
+        where = place[which]
+        sizes = self.sizes[where]
+        flat = self.ids[_ranges(self.starts[where], sizes)]
+        through = np.append(0, np.cumsum(sizes))
+        counts = through[cut.of[1:]] - through[cut.of[:-1]]
+        return self._with_special(texts, flat, counts)
+
+    def _with_special(self, texts: pa.Array, flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        odd = np.zeros(len(texts), bool)
+        for token in self.special:
+            odd |= pc.fill_null(pc.match_substring(texts, token), False).to_numpy(zero_copy_only=False)
+        if not odd.any():
+            return flat, counts
+        own = np.split(flat, np.cumsum(counts)[:-1])
+        whole, sizes = super().encode(texts.filter(pa.array(odd)))
+        for row, ids in zip(np.flatnonzero(odd), np.split(whole, np.cumsum(sizes)[:-1])):
+            own[row] = ids
+        return np.concatenate(own), np.fromiter(map(len, own), np.int64, len(own))
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each range, one range after another."""
+    through = np.cumsum(sizes)
+    return np.repeat(starts - (through - sizes), sizes) + np.arange(through[-1] if len(through) else 0)
+
+
+_KIND = np.full(256, 3, np.uint8)  # 0 letter, 1 digit, 2 ASCII mark, 3 other
+_KIND[:128] = 2
+_KIND[[*range(65, 91), *range(97, 123)]] = 0
+_KIND[48:58] = 1
+
+
+def _part_ends(data: np.ndarray) -> np.ndarray:
+    """Places before which a word is cut."""
+    kind = _KIND[data]
+    lead = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7))
+    kind[lead] = kind[lead + 1] = 0
+    left, right = kind[:-1], kind[1:]
+    both = (left < 3) & (right < 3)
+    ends = both & ((left != right) | (left == 1)) & ~((data[:-1] == 0x27) & (right == 0))
+    return np.flatnonzero(ends) + 1
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str) -> WholeEncoder:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return WordEncoder(path)
+    return (PartEncoder if os.path.basename(path) == TOKENIZER else WholeEncoder)(path)
 
 
 def _store(folder: str) -> tuple[fs.FileSystem, str]:
@@ -130,7 +195,7 @@ def write(
     path = tokenizer or tokenizer_path()
     width = "<u2" if encoder(path).size <= 1 << 16 else "<u4"
     ordered = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    ordered = ordered.repartitionByRange(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
+    ordered = ordered.repartitionByRange(F.asc_nulls_first("doc_id"))
     ordered = ordered.sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +227,7 @@ def write(
                 if sink is None:
                     name, total, lengths, ids = uuid.uuid4().hex, 0, [], []
                     sink = store.open_output_stream(f"{place}/ids-{name}.bin")
-                flat, counts = code.encode(piece.column("text").to_pylist())
+                flat, counts = code.encode(piece.column("text"))
                 ended = np.insert(flat, np.cumsum(counts), END_ID)
                 sink.write(ended.astype(width).tobytes())
                 total += len(ended) * int(width[2])
