@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastegrid.llm import decontaminate, jaccard, langid, mixing, quality, tokens
+from tastegrid.llm import decontaminate, jaccard, langid, mixing, neighbors, quality, tokens
 from tastegrid.llm.frames import fold
+from tastegrid.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -80,3 +81,12 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.join_groups(table(spark, folder, "documents"))
+
+
+@query
+def op2_nearest_neighbors(spark: SparkSession, folder: str) -> DataFrame:
+    rows = materialize(neighbors.usable(table(spark, folder, "embeddings")))
+    index = neighbors.fit(rows)
+    if index is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return neighbors.nearest(rows, rows.where("vec_id % 50 = 0"), index)
