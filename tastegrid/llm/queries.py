@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastegrid.llm import decontaminate, jaccard, langid, mixing, neighbors, quality, tokens
+from tastegrid.llm import decontaminate, jaccard, langid, mixing, neighbors, quality, tokens, toxicity
 from tastegrid.llm.frames import fold
 from tastegrid.session import materialize
 
@@ -90,3 +90,12 @@ def op2_nearest_neighbors(spark: SparkSession, folder: str) -> DataFrame:
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     return neighbors.nearest(rows, rows.where("vec_id % 50 = 0"), index)
+
+
+@query
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    held_out = fold(F.col("doc_id"), 5, 0)
+    model = toxicity.train(docs, docs.where(~held_out), labels.where(~held_out))
+    found = toxicity.score(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
