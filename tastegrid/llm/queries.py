@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastegrid.llm import decontaminate, jaccard, langid, mixing, neighbors, quality, tokens, toxicity
+from tastegrid.llm import (
+    decontaminate,
+    html,
+    jaccard,
+    langid,
+    mixing,
+    neighbors,
+    quality,
+    tokens,
+    toxicity,
+)
 from tastegrid.llm.frames import fold
 from tastegrid.session import materialize
 
@@ -99,3 +109,10 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     model = toxicity.train(docs, docs.where(~held_out), labels.where(~held_out))
     found = toxicity.score(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
+
+
+@query
+def op8_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    found = html.extract(pages.select("page_id", "url", "html"), html.train(pages))
+    return found.select("page_id", "url", "text", "n_chars")
