@@ -15,6 +15,7 @@ from tastegrid.llm import (
     mixing,
     neighbors,
     quality,
+    repeats,
     tokens,
     toxicity,
 )
@@ -116,3 +117,8 @@ def op8_main_text(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
     found = html.extract(pages.select("page_id", "url", "html"), html.train(pages))
     return found.select("page_id", "url", "text", "n_chars")
+
+
+@query
+def op1_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.find_repeats(table(spark, folder, "documents"))
