@@ -289,3 +289,20 @@ def _with_components(found: DataFrame, classes: DataFrame, final: DataFrame) ->
     rows = found.select("doc_id", "n_shingles", "set_id").join(names, "set_id", "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), own.alias("component_id"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", length: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """`docs` with one document of each component, the smallest id; columns stay as they are.
+
+    Texts without words and rows with null ids stay. Rows that repeat id and
+    text stay once; rows that share an id and differ in text are kept.
+    """
+    groups = materialize(join_groups(docs, key, length, percent))
+    rest = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
+    kept = docs.join(rest, key, "left_anti").select(*(F.col(f"`{name}`") for name in docs.columns))
+    again = groups.where("doc_id = component_id AND n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if again.isEmpty():
+        return kept
+    repeated = again.select(F.col("doc_id").alias(key))
+    once = kept.join(repeated, key, "left_semi").dropDuplicates([key, "text"]).select(*docs.columns)
+    return kept.join(repeated, key, "left_anti").select(*docs.columns).unionByName(once)

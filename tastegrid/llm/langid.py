@@ -122,25 +122,25 @@ def posterior(model: LanguageModel, texts: list[str | None]) -> tuple[np.ndarray
     return lettered, scores / scores.sum(axis=1, keepdims=True)
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """`docs` with lang_pred and score, the probability of that language.
+def identify(docs: DataFrame, model: LanguageModel, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """`docs` with the predicted language and its probability, in columns of these names.
 
     Null texts and texts without a letter get `und` and score 0, as does all
     text when the model knows no language. Ties go to the first language by
-    name. Existing columns lang_pred and score are replaced.
+    name. Existing columns of these names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(arrays: list[pa.Array]) -> dict[str, pa.Array]:
         known, texts = shared.value, arrays[0].to_pylist()
         if not known.languages:
-            return {"lang_pred": pa.array([UNKNOWN] * len(texts)), "score": pa.array([0.0] * len(texts))}
+            return dict(zip(names, (pa.array([UNKNOWN] * len(texts), pa.string()), pa.array([0.0] * len(texts), pa.float64()))))
         lettered, chances = posterior(known, texts)
         best = chances.argmax(axis=1)
-        names = [known.languages[place] if ok else UNKNOWN for place, ok in zip(best, lettered)]
+        found = [known.languages[place] if ok else UNKNOWN for place, ok in zip(best, lettered)]
         return {
-            "lang_pred": pa.array(names, pa.string()),
-            "score": pa.array(np.where(lettered, chances.max(axis=1), 0.0)),
+            names[0]: pa.array(found, pa.string()),
+            names[1]: pa.array(np.where(lettered, chances.max(axis=1), 0.0)),
         }
 
-    return add_columns(docs, ["text"], predict, "lang_pred string, score double")
+    return add_columns(docs, ["text"], predict, f"`{names[0]}` string, `{names[1]}` double")

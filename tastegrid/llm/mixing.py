@@ -117,8 +117,8 @@ def _place(seed: int, epoch: Column, key: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), epoch.cast("string"), F.coalesce(key.cast("string"), F.lit("-"))))
 
 
-def mix_documents(docs: DataFrame, mix: Mix, key: str = "doc_id") -> DataFrame:
-    """The chosen rows of `docs` with domain, language, origin, epoch and n_tokens.
+def mix_documents(docs: DataFrame, mix: Mix, key: str = "doc_id", prefix: str = "") -> DataFrame:
+    """The chosen rows of `docs` with domain, language, origin, epoch and n_tokens, named after `prefix`.
 
     Tokens are words between white space. Epochs count from 0; a row chosen in
     two epochs appears twice. Within an epoch rows go by md5 of seed, epoch and
@@ -129,7 +129,8 @@ def mix_documents(docs: DataFrame, mix: Mix, key: str = "doc_id") -> DataFrame:
     No leaf is sorted as one group: the cumulative sums of hash buckets say
     which bucket holds the end of the prefix, and only that bucket is sorted.
     """
-    kept = [name for name in docs.columns if name not in (*LEVELS, "epoch", "n_tokens")]
+    added = [prefix + name for name in (*LEVELS, "epoch", "n_tokens")]
+    kept = [name for name in docs.columns if name not in added]
     leaf = tree_columns()
     narrow = materialize(docs.select(*(value.alias(name) for name, value in leaf.items()), F.col(key).alias("__key"), token_count().alias("n_tokens")))
     leaves = narrow.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows"))
@@ -162,16 +163,19 @@ def mix_documents(docs: DataFrame, mix: Mix, key: str = "doc_id") -> DataFrame:
     if sizes["leaves"] <= BROADCAST_LEAVES:
         plan = F.broadcast(plan)
 
-    rows = docs.select(*(F.col(f"`{name}`") for name in kept), *(value.alias(name) for name, value in leaf.items()))
-    rows = rows.join(plan, list(LEVELS)).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full"))))
-    rows = rows.withColumn("__place", _place(mix.seed, F.col("epoch"), F.col(f"`{key}`")))
-    own, partial = bucket(F.col("__place")), F.col("epoch") == F.col("full")
-    results = [*kept, *LEVELS, "epoch", "n_tokens"]
-    whole = rows.where(~partial | F.col("bucket").isNull() | (own < F.col("bucket"))).withColumn("n_tokens", token_count())
-    edge = rows.where(partial & (own == F.col("bucket"))).withColumn("n_tokens", token_count())
-    inside = Window.partitionBy(*LEVELS).orderBy("__place", F.asc_nulls_first(f"`{key}`"), F.asc_nulls_first("text"))
+    own = [f"__{name}" for name in (*LEVELS, "full", "rest", "bucket", "before")]
+    rows = docs.select(*(F.col(f"`{name}`") for name in kept), *(value.alias(f"__{name}") for name, value in leaf.items()))
+    rows = rows.join(plan.toDF(*own), own[: len(LEVELS)])
+    rows = rows.withColumn("__epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__full"))))
+    rows = rows.withColumn("__place", _place(mix.seed, F.col("__epoch"), F.col(f"`{key}`")))
+    at, partial = bucket(F.col("__place")), F.col("__epoch") == F.col("__full")
+    results = [F.col(f"`{name}`") for name in kept]
+    results += [F.col(f"__{name}").alias(prefix + name) for name in (*LEVELS, "epoch", "n_tokens")]
+    whole = rows.where(~partial | F.col("__bucket").isNull() | (at < F.col("__bucket"))).withColumn("__n_tokens", token_count())
+    edge = rows.where(partial & (at == F.col("__bucket"))).withColumn("__n_tokens", token_count())
+    inside = Window.partitionBy(*own[: len(LEVELS)]).orderBy("__place", F.asc_nulls_first(f"`{key}`"), F.asc_nulls_first("text"))
     inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = edge.withColumn("__through", F.sum("n_tokens").over(inside)).where("before + __through <= rest")
+    edge = edge.withColumn("__through", F.sum("__n_tokens").over(inside)).where("__before + __through <= __rest")
     return whole.select(*results).unionByName(edge.select(*results))
 
 
