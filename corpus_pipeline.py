@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tastegrid.llm import decontaminate, jaccard, langid, mixing, tokens
+from tastegrid.llm.frames import columns_of
 from tastegrid.session import materialize
 
 #: A document stays when its language is at least this likely.
@@ -23,7 +24,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = langid.identify(docs, langid.train(docs), ("__lang", "__likely"))
     kept = found.where((F.col("__lang") != langid.UNKNOWN) & (F.col("__likely") >= LEAST_LIKELY))
     filled = F.coalesce("lang", "__lang").alias("lang")
-    return kept.select(*(filled if name == "lang" else F.col(f"`{name}`") for name in docs.columns))
+    return kept.select(*(filled if name == "lang" else column for name, column in zip(docs.columns, columns_of(docs))))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +39,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take documents from the tree of sources until the budget of tokens is spent."""
-    return mixing.mix_documents(docs, MIX, prefix="__mix_").select(*(F.col(f"`{name}`") for name in docs.columns))
+    return mixing.mix_documents(docs, MIX, prefix="__mix_").select(*columns_of(docs))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

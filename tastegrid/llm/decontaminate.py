@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastegrid.llm.frames import add_columns, pieces
+from tastegrid.llm.frames import add_columns, columns_of, pieces
 from tastegrid.llm.text import Words, runs, words
 
 WORDS = 5
@@ -175,7 +175,7 @@ def find_leaks(
 
 def drop_leaked(docs: DataFrame, items: DataFrame, length: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` without the rows that contaminate an item; columns stay as they are."""
-    columns = docs.columns
+    columns = columns_of(docs)
     for index in _blocks(items, length, threshold):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 

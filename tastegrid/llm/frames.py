@@ -12,6 +12,15 @@ from pyspark.sql.types import StructType
 CHUNK_BYTES = 1 << 20
 
 
+def quoted(name: str) -> str:
+    """A column name with any characters as Spark reads it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    return [F.col(quoted(name)) for name in df.columns]
+
+
 def fold(doc_id: Column, parts: int, part: int) -> Column:
     """Whether crc32 of the id as text falls into one of `parts`; null ids do."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % parts == part, F.lit(True))
@@ -40,8 +49,8 @@ def add_columns(
     kept = [field for field in df.schema if field.name not in names]
     sources = {name: f"__in_{place}" for place, name in enumerate(inputs)}
     frame = df.select(
-        *(F.col(f"`{field.name}`") for field in kept),
-        *(F.col(f"`{name}`").alias(alias) for name, alias in sources.items()),
+        *(F.col(quoted(field.name)) for field in kept),
+        *(F.col(quoted(name)).alias(alias) for name, alias in sources.items()),
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

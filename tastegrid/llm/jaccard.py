@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tastegrid.llm.components import components
-from tastegrid.llm.frames import pieces
+from tastegrid.llm.frames import columns_of, pieces
 from tastegrid.llm.text import mixed, shingles, words
 from tastegrid.session import materialize
 
@@ -299,10 +299,10 @@ def keep_one(docs: DataFrame, key: str = "doc_id", length: int = WORDS, percent:
     """
     groups = materialize(join_groups(docs, key, length, percent))
     rest = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
-    kept = docs.join(rest, key, "left_anti").select(*(F.col(f"`{name}`") for name in docs.columns))
+    kept = docs.join(rest, key, "left_anti").select(*columns_of(docs))
     again = groups.where("doc_id = component_id AND n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if again.isEmpty():
         return kept
     repeated = again.select(F.col("doc_id").alias(key))
-    once = kept.join(repeated, key, "left_semi").dropDuplicates([key, "text"]).select(*docs.columns)
-    return kept.join(repeated, key, "left_anti").select(*docs.columns).unionByName(once)
+    once = kept.join(repeated, key, "left_semi").dropDuplicates([key, "text"]).select(*columns_of(docs))
+    return kept.join(repeated, key, "left_anti").select(*columns_of(docs)).unionByName(once)

@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tastegrid.llm.frames import quoted
 from tastegrid.session import materialize
 
 LEVELS = ("domain", "language", "origin")
@@ -164,16 +165,16 @@ def mix_documents(docs: DataFrame, mix: Mix, key: str = "doc_id", prefix: str =
         plan = F.broadcast(plan)
 
     own = [f"__{name}" for name in (*LEVELS, "full", "rest", "bucket", "before")]
-    rows = docs.select(*(F.col(f"`{name}`") for name in kept), *(value.alias(f"__{name}") for name, value in leaf.items()))
+    rows = docs.select(*(F.col(quoted(name)) for name in kept), *(value.alias(f"__{name}") for name, value in leaf.items()))
     rows = rows.join(plan.toDF(*own), own[: len(LEVELS)])
     rows = rows.withColumn("__epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__full"))))
-    rows = rows.withColumn("__place", _place(mix.seed, F.col("__epoch"), F.col(f"`{key}`")))
+    rows = rows.withColumn("__place", _place(mix.seed, F.col("__epoch"), F.col(quoted(key))))
     at, partial = bucket(F.col("__place")), F.col("__epoch") == F.col("__full")
-    results = [F.col(f"`{name}`") for name in kept]
+    results = [F.col(quoted(name)) for name in kept]
     results += [F.col(f"__{name}").alias(prefix + name) for name in (*LEVELS, "epoch", "n_tokens")]
     whole = rows.where(~partial | F.col("__bucket").isNull() | (at < F.col("__bucket"))).withColumn("__n_tokens", token_count())
     edge = rows.where(partial & (at == F.col("__bucket"))).withColumn("__n_tokens", token_count())
-    inside = Window.partitionBy(*own[: len(LEVELS)]).orderBy("__place", F.asc_nulls_first(f"`{key}`"), F.asc_nulls_first("text"))
+    inside = Window.partitionBy(*own[: len(LEVELS)]).orderBy("__place", F.asc_nulls_first(quoted(key)), F.asc_nulls_first("text"))
     inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = edge.withColumn("__through", F.sum("__n_tokens").over(inside)).where("__before + __through <= __rest")
     return whole.select(*results).unionByName(edge.select(*results))
