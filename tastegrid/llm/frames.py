@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 CHUNK_BYTES = 1 << 20
 
@@ -47,20 +47,22 @@ def add_columns(
     new = StructType.fromDDL(added)
     names = [field.name for field in new]
     kept = [field for field in df.schema if field.name not in names]
-    sources = {name: f"__in_{place}" for place, name in enumerate(inputs)}
+    inner = [f"kept{place}" for place in range(len(kept))]
+    sources = [f"input{place}" for place in range(len(inputs))]
     frame = df.select(
-        *(F.col(quoted(field.name)) for field in kept),
-        *(F.col(quoted(name)).alias(alias) for name, alias in sources.items()),
+        *(F.col(quoted(field.name)).alias(alias) for field, alias in zip(kept, inner)),
+        *(F.col(quoted(name)).alias(alias) for name, alias in zip(inputs, sources)),
     )
+    schema = StructType([StructField(alias, field.dataType) for field, alias in zip([*kept, *new], [*inner, *names])])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, list(sources.values())):
-                made = function([piece.column(alias) for alias in sources.values()])
-                columns = [piece.column(field.name) for field in kept] + [made[name] for name in names]
-                yield pa.RecordBatch.from_arrays(columns, [field.name for field in kept] + names)
+            for piece in pieces(batch, sources):
+                made = function([piece.column(alias) for alias in sources])
+                columns = [piece.column(alias) for alias in inner] + [made[name] for name in names]
+                yield pa.RecordBatch.from_arrays(columns, inner + names)
 
-    return frame.mapInArrow(run, StructType(kept + list(new)))
+    return frame.mapInArrow(run, schema).toDF(*(field.name for field in kept), *names)
 
 
 def pieces(batch: pa.RecordBatch, text_columns: list[str]) -> Iterator[pa.RecordBatch]:

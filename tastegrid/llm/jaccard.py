@@ -13,12 +13,12 @@ longest of its inverted lists are set aside, the short ones are merged, what
 occurs T minus that number of times is looked up in the long ones by binary
 search, and documents reaching the overlap stay.
 
-Equal sets are one class. Each class is first compared with one other of its
-lists only, and the classes so linked become components. Of the lists that
-still hold several components, equal ones are searched once; all members
-outside the largest component are queries against all members, in blocks. So
-a large group of near copies is not compared pair by pair, and no link that
-would join two components is lost.
+Equal sets are one class. Lists with the same smallest class, their leader, are
+one group. Each class is first compared with one leader only, and the classes
+so linked become components. In the groups that still hold several components,
+all members outside the largest one are queries against all members, in
+blocks. So a large group of near copies is not compared pair by pair, and no
+link that would join two components is lost.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ PERCENT = 85
 SAMPLED = 0.22
 #: Members of a list that one task searches at a time.
 BLOCK = 512
+#: Ids of texts to read again that are broadcast; with more, texts are shuffled.
+BROADCAST_IDS = 500_000
 _LIMIT = np.uint64(int(SAMPLED * 2**64))
 
 
@@ -95,7 +97,10 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 [pa.array([set_code(own) for own in sets], pa.int64()), _lists(sets)], ["set_id", "codes"]
             )
 
-    chosen = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+    ids = wanted.select("doc_id").distinct()
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    chosen = docs.join(ids, "doc_id", "left_semi").select("text")
     found = chosen.mapInArrow(run, "set_id long, codes array<long>")
     return found.join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"])
 
@@ -189,7 +194,8 @@ def _edges(found: set[tuple[int, int]]) -> pa.RecordBatch:
 def _keys(classes: DataFrame, percent: int) -> DataFrame:
     """Rows of code and set_id: the rarest shingles that a class must share one of."""
     given = classes.select("set_id", F.explode("sketch").alias("code"))
-    often = given.groupBy("code").agg(F.count("*").alias("n")).where("n > 1")
+    # written, so that the join deals rows out anew and can split a code that very many classes hold
+    often = materialize(given.groupBy("code").agg(F.count("*").alias("n")).where("n > 1"))
     met = given.join(often, "code").groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("n", "code"))).alias("met"))
     sized = classes.select("set_id", F.col("n_shingles").cast("long").alias("size"), F.size("sketch").alias("given"))
     # shingles it may lack and one more, less those seen nowhere else
@@ -201,14 +207,24 @@ def _keys(classes: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _first_links(keys: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of each class with the list leader that it shares most keys with."""
+def _led(keys: DataFrame) -> DataFrame:
+    """Rows of leader, set_id and n: the classes of all lists with that smallest class, and shared keys.
+
+    Two classes under one key are under that list's leader together, and lists
+    of one group of texts have few leaders, so a class is searched a few times
+    rather than once per key.
+    """
     leaders = keys.groupBy("code").agg(F.min("set_id").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    shared = keys.join(leaders, "code").where("set_id <> leader").groupBy("set_id", "leader").agg(F.count("*").alias("n"))
+    return keys.join(leaders.select("code", "leader"), "code").groupBy("leader", "set_id").agg(F.count("*").alias("n"))
+
+
+def _first_links(led: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of each class with the leader that it shares most keys with."""
+    shared = led.where("set_id <> leader")
     best = shared.groupBy("set_id").agg(F.min_by("leader", F.struct(-F.col("n"), F.col("leader"))).alias("leader"))
-    counts = best.groupBy("leader").agg(F.count("*").alias("n"))
-    blocks = counts.select("leader", ((F.col("n") - 1) / BLOCK + 1).cast("int").alias("blocks"))
     best = materialize(best)
+    counts = best.groupBy("leader").agg(F.count("*").alias("n"))
+    blocks = counts.select("leader", F.expr(f"cast((n - 1) div {BLOCK} + 1 as int)").alias("blocks"))
     members = best.join(blocks, "leader").select(
         F.col("leader").alias("g1"), F.pmod(F.xxhash64("set_id"), "blocks").cast("int").alias("g2"), F.lit(2).alias("role"), "set_id",
     )
@@ -220,33 +236,31 @@ def _first_links(keys: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _search_groups(rows, percent)
 
 
-def _later_links(keys: DataFrame, named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components that meet in a list."""
-    listed = materialize(keys.join(named, "set_id"))
-    parts = listed.groupBy("code", "component").agg(F.count("*").alias("n"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("sum"))
-    lists = parts.groupBy("code").agg(
-        F.count("*").alias("components"), F.sum("n").alias("n"), F.sum("sum").alias("sum"),
-        F.max(F.struct("n", "component")).alias("largest"),
-    ).where("components > 1")
-    once = lists.groupBy("n", "sum", "largest").agg(F.min("code").alias("code"))  # lists of the same members
-    sized = once.select(
-        "code", F.col("largest.component").alias("largest"),
+def _later_links(led: DataFrame, named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components that meet under a leader."""
+    listed = materialize(led.select("leader", "set_id").join(named, "set_id"))
+    parts = listed.groupBy("leader", "component").agg(F.count("*").alias("n"))
+    groups = parts.groupBy("leader").agg(
+        F.count("*").alias("components"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("largest")
+    )
+    sized = groups.where("components > 1").select(
+        "leader", F.col("largest.component").alias("largest"),
         F.expr(f"cast((n - 1) div {BLOCK} + 1 as int)").alias("blocks"),
         F.expr(f"cast((n - largest.n - 1) div {BLOCK} + 1 as int)").alias("parts"),
     )
-    rows = listed.join(sized, "code").withColumn("outside", F.expr("component <> largest"))
+    rows = listed.join(sized, "leader").withColumn("outside", F.expr("component <> largest"))
     small = rows.where("blocks = 1").select(
-        "set_id", "component", F.col("code").alias("g1"), F.lit(0).alias("g2"), F.lit(0).alias("g3"),
+        "set_id", "component", F.col("leader").alias("g1"), F.lit(0).alias("g2"), F.lit(0).alias("g3"),
         F.when(F.col("outside"), 3).otherwise(2).alias("role"),
     )
     large = rows.where("blocks > 1")
     place = F.pmod(F.xxhash64("set_id"), F.lit(1 << 30))
     queries = large.where("outside").select(
-        "set_id", "component", F.col("code").alias("g1"), (place % F.col("parts")).cast("int").alias("g2"),
+        "set_id", "component", F.col("leader").alias("g1"), (place % F.col("parts")).cast("int").alias("g2"),
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("g3"), F.lit(1).alias("role"),
     )
     indexed = large.select(
-        "set_id", "component", F.col("code").alias("g1"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("g2"),
+        "set_id", "component", F.col("leader").alias("g1"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("g2"),
         (place % F.col("blocks")).cast("int").alias("g3"), F.lit(2).alias("role"),
     )
     every = small.unionByName(queries).unionByName(indexed)
@@ -271,10 +285,11 @@ def join_groups(docs: DataFrame, key: str = "doc_id", length: int = WORDS, perce
     keys = materialize(_keys(classes, percent))
     wanted = keys.select("set_id").distinct().join(classes.select("set_id", "doc_id"), "set_id")
     sets = materialize(whole_sets(frame, wanted, length))
-    first = components(_first_links(keys, sets, percent))
+    led = materialize(_led(keys))
+    first = components(_first_links(led, sets, percent))
     named = keys.select("set_id").distinct().join(first.withColumnRenamed("node", "set_id"), "set_id", "left")
     named = materialize(named.select("set_id", F.coalesce("component", "set_id").alias("component")))
-    later = components(_later_links(keys, named, sets, percent))
+    later = components(_later_links(led, named, sets, percent))
     final = named.join(later.toDF("component", "top"), "component", "left").select(
         "set_id", F.coalesce("top", "component").alias("component")
     )

@@ -286,6 +286,7 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", least: int = MIN_WORDS, h
     suffixes = suffixes.select("text_code", "doc_id", "s.head", "s.place")
     often = suffixes.groupBy("head").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     often = often.where("low <> high").select("head", F.expr(f"cast((n - 1) div {GROUP} + 1 as int)").alias("parts"))
+    often = materialize(often)  # so that the join can split a head that very many documents hold
     part = F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part")
     wanted = suffixes.join(often, "head").select("text_code", "doc_id", F.struct("head", "place", part).alias("suffix"))
     wanted = wanted.groupBy("text_code", "doc_id").agg(F.collect_list("suffix").alias("suffixes"))
