@@ -50,7 +50,7 @@ def tree_columns() -> dict[str, Column]:
 
     Null counts as `-`, a source without a number belongs to domain `-`.
     """
-    number = F.regexp_extract("source", r"(\d{1,9})$", 1).cast("int")
+    number = F.regexp_extract("source", r"(\d{1,9})$", 1).try_cast("int")
     return {
         "domain": F.coalesce(F.concat(F.lit("d"), (number % DOMAINS).cast("string")), F.lit("-")),
         "language": F.coalesce("lang", F.lit("-")),
