@@ -444,8 +444,8 @@ def bpr_negatives(spark: SparkSession, folder: str) -> DataFrame:
     data = pairs.training(_train(spark, folder))
     n_catalog = data.popularity.count()
     eligible = materialize(bpr.eligible_pairs(data.seen, n_catalog))
-    positions = bpr.catalog_positions(data.items)
-    return bpr.sample_negatives(eligible, data.seen, positions, n_catalog, SEED, 0)
+    positions, spans = bpr.catalog_parts(data.items, 1, 0)
+    return bpr.sample_negatives(eligible, data.seen, positions, spans, 1, SEED, 0).drop("part")
 
 
 @query
