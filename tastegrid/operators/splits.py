@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from tastegrid.functions.columns import literal_of
 from tastegrid.operators.ordering import ordered_index
 
-_DAY_MS = 86_400_000
+_BINS = 4096
 SPLITS = ("train", "validation", "test", "random_audit")
 
 
@@ -47,42 +47,67 @@ def split_future(
     """Train on history; cut the strict future by row count along time."""
     if not 0.0 < fraction < 1.0:
         raise ValueError("fraction must be strictly between 0 and 1")
-    later = strict_future(history, future)
-    before = before_cut(later, fraction)
-    return Splits(history, later.filter(before), later.filter(~before), audit)
+    validation, test = cut_in_time(strict_future(history, future), fraction)
+    return Splits(history, validation, test, audit)
 
 
-def before_cut(log: DataFrame, fraction: float) -> Column:
-    """Predicate for the earliest floor(n * fraction) rows, at least 1, at most n - 1.
+def cut_in_time(log: DataFrame, fraction: float) -> tuple[DataFrame, DataFrame]:
+    """The earliest floor(n * fraction) rows, at least 1, at most n - 1, and the rest.
 
-    Day counts locate the day that holds the cut. Only that day is ordered,
-    in range partitions, and one row of it comes back as the boundary.
+    Counts in bins of time locate the bin that holds the cut. Only that bin is
+    ordered, in range partitions, and the rows at the cut come back. Where
+    rows equal in time and tie lie on both sides, they are numbered by all
+    their columns, and as many go to the front as the cut asks for.
     """
-    day = _day("event_time", _time_type(log))
-    days = log.groupBy(day.cast("string").alias("day"), day.alias("key")).count()
-    sizes = sorted((row["key"], row["day"], row["count"]) for row in days.collect())
-    total = sum(size for _, _, size in sizes)
+    bin_of = _bins(log)
+    counted = log.groupBy(bin_of.alias("bin")).count().collect()  # _BINS rows, or one per day
+    sizes = sorted((row["bin"], row["count"]) for row in counted)
+    total = sum(size for _, size in sizes)
     if total < 2:
         raise ValueError("a chronological split needs at least two future rows")
     remaining = min(max(math.floor(total * fraction), 1), total - 1)
-    for key, text, size in sizes:
+    for key, size in sizes:
         if remaining < size:
             break
         remaining -= size
-    in_day = _in_day(log, key, text)
+    in_bin = log.filter(bin_of == F.lit(key))
     moment = F.struct("event_time", "tie").alias("moment")
-    ordered = ordered_index(log.filter(in_day).select(moment), [F.col("moment")])
+    ordered = ordered_index(in_bin.select(moment), [F.col("moment")])
     bounds = _bound_fields(log)
     texts = [F.col(path).cast("string").alias(f"b{at}") for at, (path, _) in enumerate(bounds)]
     rows = ordered.filter(F.col("index").isin(remaining - 1, remaining)).orderBy("index")
     found = [tuple(row) for row in rows.select(*texts).collect()]
-    if len(set(found)) < len(found):
-        raise ValueError("(event_time, tie) repeats at the cut; give a unique tie")
     first_after = found[-1]
     time_bound = literal_of(first_after[0], bounds[0][1])
     tie_bound = _tie_literal(log, first_after[1:])
     time = F.col("event_time")
-    return (time < time_bound) | ((time == time_bound) & (F.col("tie") < tie_bound))
+    before = (time < time_bound) | ((time == time_bound) & (F.col("tie") < tie_bound))
+    if len(set(found)) == len(found):
+        return log.filter(before), log.filter(~before)
+    equal = (time == time_bound) & (F.col("tie") == tie_bound)
+    wanted = remaining - in_bin.filter(before).count()
+    numbered = ordered_index(log.filter(equal), [F.struct(*log.columns)], "__copy")
+    columns = log.columns
+    return (
+        log.filter(before).unionByName(numbered.filter(F.col("__copy") < wanted).select(*columns)),
+        log.filter(~before & ~equal).unionByName(
+            numbered.filter(F.col("__copy") >= wanted).select(*columns)
+        ),
+    )
+
+
+def _bins(log: DataFrame) -> Column:
+    """Days, or for numbers of any unit _BINS equal steps from the first to the last."""
+    data_type, time = _time_type(log), F.col("event_time")
+    if not isinstance(data_type, T.NumericType):
+        return F.to_date(time)
+    low, high = log.agg(F.min(time), F.max(time)).first()
+    if low is None or low == high:
+        return F.lit(0)
+    if isinstance(data_type, T.IntegralType):
+        step = (high - low) // _BINS + 1
+        return F.expr(f"(cast(event_time as decimal(20, 0)) - {low}) div {step}")
+    return F.floor((time.cast("double") - float(low)) / ((float(high) - float(low)) / _BINS))
 
 
 def split_summary(stacked: DataFrame) -> DataFrame:
@@ -101,23 +126,6 @@ def _time_type(log: DataFrame) -> T.DataType:
     return log.schema["event_time"].dataType
 
 
-def _day(column: str, data_type: T.DataType) -> Column:
-    if isinstance(data_type, T.NumericType):
-        return F.floor(F.col(column) / _DAY_MS)
-    return F.to_date(column)
-
-
-def _in_day(log: DataFrame, key, text: str) -> Column:
-    """Range predicate for one day, in the type of the time column."""
-    data_type = _time_type(log)
-    if isinstance(data_type, T.NumericType):
-        start, end = F.lit(key * _DAY_MS), F.lit((key + 1) * _DAY_MS)
-    else:
-        start = literal_of(text, data_type)
-        end = F.date_add(F.lit(text).cast("date"), 1).cast(data_type)
-    return (F.col("event_time") >= start) & (F.col("event_time") < end)
-
-
 def _bound_fields(log: DataFrame) -> list[tuple[str, T.DataType]]:
     fields = [("moment.event_time", _time_type(log))]
     tie_type = log.schema["tie"].dataType

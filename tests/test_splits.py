@@ -7,6 +7,7 @@ from tastegrid.plans import jobs
 from tastegrid.sources import logs as sources
 from tastegrid.sources import sinks
 
+# The rows that the expected results of these tests rest on.
 HISTORY = [(0, 10, 1, 1), (1, 11, 2, 0)]
 FUTURE = [(0, 11, 10, 1), (1, 10, 11, 1), (0, 12, 12, 0), (1, 12, 13, 1)]
 AUDIT = [(0, 12, 20, 1)]
@@ -22,11 +23,9 @@ def split(spark, history, future, fraction=0.5):
     )
 
 
-def test_split_is_strictly_chronological(spark):
+def test_cut_halves_the_future_and_passes_the_audit_on(spark):
     found = split(spark, HISTORY, FUTURE)
-    assert max(times(found.train)) < min(times(found.validation))
-    assert max(times(found.validation)) < min(times(found.test))
-    assert times(found.random_audit) == [20]
+    assert [times(getattr(found, name)) for name in cuts.SPLITS] == [[1, 2], [10, 11], [12, 13], [20]]
 
 
 def test_overlapping_future_rows_are_dropped(spark):
@@ -48,10 +47,21 @@ def test_cut_is_exact_inside_a_time_tie(spark, fraction):
     assert items(found.test) == list(range(wanted, 47))
 
 
-def test_repeated_tie_at_the_cut_is_refused(spark):
-    future = log_of(spark, FUTURE[:1] * 4).withColumn("tie", F.lit(1).cast("bigint"))
-    with pytest.raises(ValueError, match="unique tie"):
-        cuts.split_future(log_of(spark, HISTORY), future, log_of(spark, AUDIT))
+@pytest.mark.parametrize("fraction", [0.2, 0.5, 0.75])
+def test_copies_at_the_cut_are_dealt_out_by_count(spark, fraction):
+    future = log_of(spark, FUTURE[1:2] * 5 + FUTURE[:1] + FUTURE[3:] * 2)
+    future = future.withColumn("tie", F.lit(1).cast("bigint"))
+    found = cuts.split_future(log_of(spark, HISTORY), future, log_of(spark, AUDIT), fraction)
+    every = [10] + [11] * 5 + [13] * 2
+    cut = int(8 * fraction)
+    assert times(found.validation) == every[:cut] and times(found.test) == every[cut:]
+
+
+@pytest.mark.parametrize("unit", [1, 1_000_000, 2**53 // 10])
+def test_cut_at_any_unit_of_time(spark, unit):
+    future = [(at, at, 100 + at * unit + at % 2, 1) for at in range(40)]
+    found = split(spark, HISTORY, future, 0.3)
+    assert times(found.validation) == sorted(row[2] for row in future)[:12]
 
 
 def test_bad_inputs_are_refused(spark):
