@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tastegrid.llm import decontaminate, jaccard, langid, mixing, tokens
-from tastegrid.llm.frames import columns_of
-from tastegrid.session import materialize
+from tastegrid.llm.frames import columns_of, materialize, temporary
+from tastegrid.session import materialize as keep
 
 #: A document stays when its language is at least this likely.
 LEAST_LIKELY = 0.5
@@ -63,6 +63,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
-    return docs
+    with temporary(spark):
+        for _, stage in STAGES[:-1]:
+            docs = materialize(stage(spark, docs, sf_dir))
+        return keep(STAGES[-1][1](spark, docs, sf_dir))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastegrid.session import materialize
+from tastegrid.llm.frames import materialize
 
 MAX_ROUNDS = 60
 

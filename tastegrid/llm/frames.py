@@ -3,13 +3,51 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from tastegrid.session import scratch_path
+
 CHUNK_BYTES = 1 << 20
+#: Ids that are broadcast to a join; with more, both sides are shuffled.
+BROADCAST_IDS = 500_000
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that `materialize` writes inside, at the end.
+
+    What leaves the block must not read them any more.
+    """
+    written: list[str] = []
+    token = _WRITTEN.set(written)
+    try:
+        yield
+    finally:
+        _WRITTEN.reset(token)
+        hadoop, context = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+        for path in written:
+            hadoop(path).getFileSystem(context).delete(hadoop(path), True)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write `df` once in the shared folder and read it from there."""
+    path = scratch_path(df.sparkSession, "table")
+    if _WRITTEN.get() is not None:
+        _WRITTEN.get().append(path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """`ids`, to be broadcast if they are at most BROADCAST_IDS rows."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
 def quoted(name: str) -> str:

@@ -31,18 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tastegrid.llm.components import components
-from tastegrid.llm.frames import columns_of, pieces
+from tastegrid.llm.frames import columns_of, few, materialize, pieces, temporary
 from tastegrid.llm.text import mixed, shingles, words
-from tastegrid.session import materialize
+from tastegrid.session import materialize as keep
 
 WORDS = 4
 PERCENT = 85
 #: Share of all hash values below which shingles are given out.
 SAMPLED = 0.22
 #: Members of a list that one task searches at a time.
-BLOCK = 512
-#: Ids of texts to read again that are broadcast; with more, texts are shuffled.
-BROADCAST_IDS = 500_000
+BLOCK = 256
 _LIMIT = np.uint64(int(SAMPLED * 2**64))
 
 
@@ -97,9 +95,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 [pa.array([set_code(own) for own in sets], pa.int64()), _lists(sets)], ["set_id", "codes"]
             )
 
-    ids = wanted.select("doc_id").distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    ids = few(wanted.select("doc_id").distinct())
     chosen = docs.join(ids, "doc_id", "left_semi").select("text")
     found = chosen.mapInArrow(run, "set_id long, codes array<long>")
     return found.join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"])
@@ -278,32 +274,34 @@ def join_groups(docs: DataFrame, key: str = "doc_id", length: int = WORDS, perce
     """
     frame = docs.select(F.col(key).cast("long").alias("doc_id"), "text")
     found = sketches(frame, length, percent)
-    classes = found.where("n_shingles > 0").groupBy("set_id").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")
-    )
-    classes = materialize(classes)
-    keys = materialize(_keys(classes, percent))
-    wanted = keys.select("set_id").distinct().join(classes.select("set_id", "doc_id"), "set_id")
-    sets = materialize(whole_sets(frame, wanted, length))
-    led = materialize(_led(keys))
-    first = components(_first_links(led, sets, percent))
-    named = keys.select("set_id").distinct().join(first.withColumnRenamed("node", "set_id"), "set_id", "left")
-    named = materialize(named.select("set_id", F.coalesce("component", "set_id").alias("component")))
-    later = components(_later_links(led, named, sets, percent))
-    final = named.join(later.toDF("component", "top"), "component", "left").select(
-        "set_id", F.coalesce("top", "component").alias("component")
-    )
-    return _with_components(found, classes, final)
+    with temporary(docs.sparkSession):
+        classes = found.where("n_shingles > 0").groupBy("set_id").agg(
+            F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")
+        )
+        classes = materialize(classes)
+        keys = materialize(_keys(classes, percent))
+        wanted = keys.select("set_id").distinct().join(classes.select("set_id", "doc_id"), "set_id")
+        sets = materialize(whole_sets(frame, wanted, length))
+        led = materialize(_led(keys))
+        first = components(_first_links(led, sets, percent))
+        named = keys.select("set_id").distinct().join(first.withColumnRenamed("node", "set_id"), "set_id", "left")
+        named = materialize(named.select("set_id", F.coalesce("component", "set_id").alias("component")))
+        later = components(_later_links(led, named, sets, percent))
+        final = named.join(later.toDF("component", "top"), "component", "left").select(
+            "set_id", F.coalesce("top", "component").alias("component")
+        )
+        names = keep(_names(classes, final))
+    rows = found.select("doc_id", "n_shingles", "set_id").join(names, "set_id", "left")
+    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return rows.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), own.alias("component_id"))
 
 
-def _with_components(found: DataFrame, classes: DataFrame, final: DataFrame) -> DataFrame:
+def _names(classes: DataFrame, final: DataFrame) -> DataFrame:
+    """Each class with the smallest id of its component."""
     placed = classes.select("set_id", "doc_id").join(final, "set_id", "left")
     placed = placed.select("set_id", "doc_id", F.coalesce("component", "set_id").alias("component"))
     least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    names = materialize(placed.join(least, "component").select("set_id", "component_id"))
-    rows = found.select("doc_id", "n_shingles", "set_id").join(names, "set_id", "left")
-    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), own.alias("component_id"))
+    return placed.join(least, "component").select("set_id", "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", length: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -312,9 +310,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", length: int = WORDS, percent:
     Texts without words and rows with null ids stay. Rows that repeat id and
     text stay once; rows that share an id and differ in text are kept.
     """
-    groups = materialize(join_groups(docs, key, length, percent))
+    groups = keep(join_groups(docs, key, length, percent))
     rest = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
-    kept = docs.join(rest, key, "left_anti").select(*columns_of(docs))
+    kept = docs.join(few(rest), key, "left_anti").select(*columns_of(docs))
     again = groups.where("doc_id = component_id AND n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if again.isEmpty():
         return kept

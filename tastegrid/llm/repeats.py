@@ -20,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tastegrid.llm.frames import pieces
+from tastegrid.llm.frames import materialize, pieces, temporary
 from tastegrid.llm.text import mixed, runs, words
-from tastegrid.session import materialize
+from tastegrid.session import materialize as keep
 
 MIN_WORDS = 50
 HEAD = 8
@@ -277,26 +277,27 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", least: int = MIN_WORDS, h
     then found by its other suffixes.
     """
     frame = docs.select(F.col(key).cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    found = materialize(_suffixes(frame, head, least))
-    classes = found.groupBy("text_code").agg(
-        F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.first("heads").alias("heads"), F.first("places").alias("places")
-    )
-    classes = materialize(classes)
-    suffixes = classes.select("text_code", "doc_id", F.explode(F.arrays_zip(F.col("heads").alias("head"), F.col("places").alias("place"))).alias("s"))
-    suffixes = suffixes.select("text_code", "doc_id", "s.head", "s.place")
-    often = suffixes.groupBy("head").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    often = often.where("low <> high").select("head", F.expr(f"cast((n - 1) div {GROUP} + 1 as int)").alias("parts"))
-    often = materialize(often)  # so that the join can split a head that very many documents hold
-    part = F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part")
-    wanted = suffixes.join(often, "head").select("text_code", "doc_id", F.struct("head", "place", part).alias("suffix"))
-    wanted = wanted.groupBy("text_code", "doc_id").agg(F.collect_list("suffix").alias("suffixes"))
-    matches = _matches(_contexts(frame, wanted, head, least), head, least)
-    copied = classes.where("doc_id <> last").select("text_code", F.col("doc_id").alias("low"), F.col("last").alias("high"))
-    copies = found.join(copied, "text_code").select(
-        "doc_id", F.lit(0).alias("start_word"), F.col("n_words").alias("end_word"),
-        F.when(F.col("doc_id") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("match_doc_id"),
-    )
-    return _merged(matches.unionByName(copies))
+    with temporary(docs.sparkSession):
+        found = materialize(_suffixes(frame, head, least))
+        classes = found.groupBy("text_code").agg(
+            F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.first("heads").alias("heads"), F.first("places").alias("places")
+        )
+        classes = materialize(classes)
+        suffixes = classes.select("text_code", "doc_id", F.explode(F.arrays_zip(F.col("heads").alias("head"), F.col("places").alias("place"))).alias("s"))
+        suffixes = suffixes.select("text_code", "doc_id", "s.head", "s.place")
+        often = suffixes.groupBy("head").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+        often = often.where("low <> high").select("head", F.expr(f"cast((n - 1) div {GROUP} + 1 as int)").alias("parts"))
+        often = materialize(often)  # so that the join can split a head that very many documents hold
+        part = F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part")
+        wanted = suffixes.join(often, "head").select("text_code", "doc_id", F.struct("head", "place", part).alias("suffix"))
+        wanted = wanted.groupBy("text_code", "doc_id").agg(F.collect_list("suffix").alias("suffixes"))
+        matches = _matches(_contexts(frame, wanted, head, least), head, least)
+        copied = classes.where("doc_id <> last").select("text_code", F.col("doc_id").alias("low"), F.col("last").alias("high"))
+        copies = found.join(copied, "text_code").select(
+            "doc_id", F.lit(0).alias("start_word"), F.col("n_words").alias("end_word"),
+            F.when(F.col("doc_id") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("match_doc_id"),
+        )
+        return keep(_merged(matches.unionByName(copies)))
 
 
 def _merged(spans: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ def found(frame):
     return sorted((tuple(row) for row in jaccard.join_groups(frame).collect()), key=str)
 
 
-@pytest.mark.parametrize("block", [3, 512])
+@pytest.mark.parametrize("block", [3, 256])
 def test_groups_equal_brute_force_at_any_block_size(spark, many_rows, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
     assert found(rows_of(spark, many_rows)) == brute(many_rows)
