@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -50,6 +52,15 @@ def few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
+def release() -> None:
+    """Give memory that this worker holds but doesn't use back to the system."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+        if trim is not None:
+            trim(0)
+
+
 def quoted(name: str) -> str:
     """A column name with any characters as Spark reads it."""
     return "`" + name.replace("`", "``") + "`"
@@ -109,3 +120,4 @@ def pieces(batch: pa.RecordBatch, text_columns: list[str]) -> Iterator[pa.Record
     rows = max(1, batch.num_rows * CHUNK_BYTES // max(size, 1))
     for start in range(0, batch.num_rows, rows):
         yield batch.slice(start, rows)
+    release()

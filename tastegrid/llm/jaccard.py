@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tastegrid.llm.components import components
-from tastegrid.llm.frames import columns_of, few, materialize, pieces, temporary
+from tastegrid.llm.frames import columns_of, few, materialize, pieces, release, temporary
 from tastegrid.llm.text import mixed, shingles, words
 from tastegrid.session import materialize as keep
 
@@ -175,8 +175,11 @@ def _search_groups(rows: DataFrame, percent: int) -> DataFrame:
             if found:
                 yield _edges(found)
                 found = set()
+            release()
         found.update(links(members))
         yield _edges(found)
+        members.clear()
+        release()
 
     ordered = rows.repartition(*group).sortWithinPartitions(*group)
     return ordered.select(*group, "role", "component", "codes").mapInArrow(run, "a long, b long").distinct()

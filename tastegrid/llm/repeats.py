@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tastegrid.llm.frames import materialize, pieces, temporary
+from tastegrid.llm.frames import materialize, pieces, release, temporary
 from tastegrid.llm.text import mixed, runs, words
 from tastegrid.session import materialize as keep
 
@@ -249,8 +249,11 @@ def _matches(contexts: DataFrame, head: int, least: int) -> DataFrame:
                 yield neighbor_matches(_joined([*held, batch.slice(0, cut)]), head, least)
                 held = []
             held.append(batch.slice(cut))
+            release()
         if held:
             yield neighbor_matches(_joined(held), head, least)
+        held.clear()
+        release()
 
     order = ["head", "part", "after", "before", "doc_id"]
     ordered = contexts.repartition("head", "part").sortWithinPartitions(*order)
