@@ -15,7 +15,7 @@ from pyspark.sql.types import StructField, StructType
 
 from tastegrid.session import scratch_path
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 #: Ids that are broadcast to a join; with more, both sides are shuffled.
 BROADCAST_IDS = 500_000
 _WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
@@ -114,10 +114,10 @@ def add_columns(
     return frame.mapInArrow(run, schema).toDF(*(field.name for field in kept), *names)
 
 
-def pieces(batch: pa.RecordBatch, text_columns: list[str]) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that its texts hold about CHUNK_BYTES, a row at least."""
+def pieces(batch: pa.RecordBatch, text_columns: list[str], most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that its texts hold about `most` bytes, a row at least."""
     size = sum(batch.column(name).nbytes for name in text_columns)
-    rows = max(1, batch.num_rows * CHUNK_BYTES // max(size, 1))
+    rows = max(1, batch.num_rows * most // max(size, 1))
     for start in range(0, batch.num_rows, rows):
         yield batch.slice(start, rows)
     release()

@@ -83,7 +83,7 @@ def words(
     after = np.zeros(len(data) + 1, bool)
     after[:-1] = inside
     end = np.flatnonzero(inside & (~after[1:] | starts_text[1:])) + 1
-    up, down = _powers(max(1 << 21, 1 << int(len(data)).bit_length()))
+    up, down = _powers(max(1 << 19, 1 << int(len(data)).bit_length()))
     with np.errstate(over="ignore"):
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_BYTE_CODES[folded[data]] * up[: len(data)], out=sums[1:])

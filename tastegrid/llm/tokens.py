@@ -31,7 +31,9 @@ from tastegrid.session import materialize, scratch_path
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Distinct parts of words whose ids a worker keeps (about 30 bytes each).
-KNOWN_PARTS = 2_000_000
+KNOWN_PARTS = 1_000_000
+#: Larger pieces than elsewhere, as new parts are merged into the known ones once per piece.
+_PIECE_BYTES = 1 << 20
 SHARD_BYTES = 64 << 20
 
 
@@ -223,7 +225,7 @@ def write(
             )
 
         for batch in batches:
-            for piece in pieces(batch, ["text"]):
+            for piece in pieces(batch, ["text"], _PIECE_BYTES):
                 if sink is None:
                     name, total, lengths, ids = uuid.uuid4().hex, 0, [], []
                     sink = store.open_output_stream(f"{place}/ids-{name}.bin")
