@@ -20,19 +20,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tastegrid.llm.frames import materialize, pieces, release, temporary
+from tastegrid.llm.frames import few, materialize, pieces, release, temporary
 from tastegrid.llm.text import mixed, runs, words
 from tastegrid.session import materialize as keep
 
 MIN_WORDS = 50
 HEAD = 8
-#: Suffixes with equal heads that one task sorts; more are dealt out by document.
+#: Suffixes with equal heads that one task sorts; with more, the passages around the head are grouped.
 GROUP = 20_000
 _PLACE_BITS = 26
 
 
-def kept_places(code: np.ndarray, of: np.ndarray, head: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Head codes at all words, and the words at which suffixes are kept.
+def window_places(code: np.ndarray, of: np.ndarray, head: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Head codes at all words, the words at which windows inside a text begin, and the word whose suffix each keeps.
 
     A window holds least - head + 1 heads; of equal smallest ones the first counts.
     """
@@ -40,7 +40,7 @@ def kept_places(code: np.ndarray, of: np.ndarray, head: int, least: int) -> tupl
     window = least - head + 1
     count = len(code) - least + 1
     if count <= 0:
-        return heads, np.zeros(0, np.int64)
+        return heads, np.zeros(0, np.int64), np.zeros(0, np.int64)
     mask = np.uint64((1 << _PLACE_BITS) - 1)
     value = (heads & ~mask) | (np.arange(len(heads), dtype=np.uint64) & mask)
     low, width = value, 1
@@ -50,8 +50,13 @@ def kept_places(code: np.ndarray, of: np.ndarray, head: int, least: int) -> tupl
     low = np.minimum(low[:count], low[window - width : window - width + count])
     owner = np.repeat(np.arange(len(of) - 1), np.diff(of))
     inside = owner[:count] == owner[least - 1 : least - 1 + count]
-    found = np.unique(low[inside] & mask).astype(np.int64)
-    return heads, found
+    return heads, np.flatnonzero(inside), (low[inside] & mask).astype(np.int64)
+
+
+def kept_places(code: np.ndarray, of: np.ndarray, head: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Head codes at all words, and the words at which suffixes are kept."""
+    heads, _, places = window_places(code, of, head, least)
+    return heads, np.unique(places)
 
 
 def _text_code(code: np.ndarray) -> int:
@@ -96,7 +101,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, head: int, least: int) -> Data
             for piece in pieces(batch, ["text"]):
                 cut = words(piece.column("text"))
                 small = (cut.code >> np.uint64(32)).astype("<u4")
-                columns: list[list] = [[], [], [], [], [], []]
+                columns: list[list] = [[], [], [], [], []]
                 lists = [piece.column(name).to_pylist() for name in ("doc_id", "text_code", "suffixes")]
                 for row, (doc, code, suffixes) in enumerate(zip(*lists)):
                     first, last = cut.of[row], cut.of[row + 1]
@@ -108,16 +113,47 @@ def _contexts(docs: DataFrame, wanted: DataFrame, head: int, least: int) -> Data
                         place = suffix["place"]
                         after = own[place + head : place + head + reach].tobytes()
                         before = back[len(own) - place : len(own) - place + reach].tobytes()
-                        for column, value in zip(columns, (suffix["head"], suffix["part"], doc, place, after, before)):
+                        for column, value in zip(columns, (suffix["head"], doc, place, after, before)):
                             column.append(value)
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(column, kind) for column, kind in zip(columns, kinds)],
-                    ["head", "part", "doc_id", "place", "after", "before"],
+                    ["head", "doc_id", "place", "after", "before"],
                 )
 
     joined = docs.join(wanted, "doc_id").select("doc_id", "text", "text_code", "suffixes")
-    return joined.mapInArrow(run, "head long, part int, doc_id long, place int, after binary, before binary")
+    return joined.mapInArrow(run, "head long, doc_id long, place int, after binary, before binary")
+
+
+def _windows(docs: DataFrame, hot: np.ndarray, head: int, least: int) -> DataFrame:
+    """Rows of code, doc_id and start_word for the windows whose kept suffix begins with a head in `hot`."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, ["text"]):
+                cut = words(piece.column("text"))
+                heads, starts, places = window_places(cut.code, cut.of, head, least)
+                starts = starts[np.isin(heads[places].view(np.int64), hot)]
+                row = np.searchsorted(cut.of, starts, side="right") - 1
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(runs(cut.code, least)[starts].view(np.int64)), piece.column("doc_id").take(pa.array(row)),
+                        pa.array((starts - cut.of[row]).astype(np.int32)),
+                    ],
+                    ["code", "doc_id", "start_word"],
+                )
+
+    return docs.select("doc_id", "text").mapInArrow(run, "code long, doc_id long, start_word int")
+
+
+def _hot_matches(windows: DataFrame, least: int) -> DataFrame:
+    """The windows that other documents hold too, one stretch each."""
+    met = windows.groupBy("code").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high")
+    met = materialize(met)  # so that the join can split a window that very many documents hold
+    other = F.when(F.col("doc_id") == F.col("low"), F.col("high")).otherwise(F.col("low"))
+    return windows.join(met, "code").select(
+        "doc_id", "start_word", (F.col("start_word") + least).alias("end_word"), other.alias("match_doc_id")
+    )
 
 
 def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,11 +213,11 @@ def neighbor_matches(block: pa.RecordBatch, head: int, least: int) -> pa.RecordB
     """
     reach, count = least - head, block.num_rows
     docs, place = block.column("doc_id").to_numpy(), block.column("place").to_numpy().astype(np.int64)
-    heads, parts = block.column("head").to_numpy(), block.column("part").to_numpy()
+    heads = block.column("head").to_numpy()
     after, n_after = _matrix(block.column("after"), reach)
     before, n_before = _matrix(block.column("before"), reach)
     group = np.zeros(count, np.int64)
-    group[1:] = np.cumsum((heads[1:] != heads[:-1]) | (parts[1:] != parts[:-1]))
+    group[1:] = np.cumsum(heads[1:] != heads[:-1])
     most_right, most_left = np.full(count, -1), np.full(count, -1)
     held_right, held_left = np.full(count, -1), np.full(count, -1)
     found: list[np.ndarray] = []
@@ -241,10 +277,10 @@ def _matches(contexts: DataFrame, head: int, least: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            heads, parts = batch.column("head").to_numpy(), batch.column("part").to_numpy()
-            last = np.flatnonzero((heads != heads[-1]) | (parts != parts[-1]))
+            heads = batch.column("head").to_numpy()
+            last = np.flatnonzero(heads != heads[-1])
             cut = int(last[-1]) + 1 if len(last) else 0
-            tail_differs = held and (held[-1].column("head")[-1].as_py(), held[-1].column("part")[-1].as_py()) != (heads[-1], parts[-1])
+            tail_differs = held and held[-1].column("head")[-1].as_py() != heads[-1]
             if cut or tail_differs:
                 yield neighbor_matches(_joined([*held, batch.slice(0, cut)]), head, least)
                 held = []
@@ -255,8 +291,8 @@ def _matches(contexts: DataFrame, head: int, least: int) -> DataFrame:
         held.clear()
         release()
 
-    order = ["head", "part", "after", "before", "doc_id"]
-    ordered = contexts.repartition("head", "part").sortWithinPartitions(*order)
+    order = ["head", "after", "before", "doc_id"]
+    ordered = contexts.repartition("head").sortWithinPartitions(*order)
     return ordered.mapInArrow(run, "doc_id long, start_word int, end_word int, match_doc_id long")
 
 
@@ -275,9 +311,8 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", least: int = MIN_WORDS, h
     row. Rows that repeat an id and text count once, rows with a null id are
     left out. Documents whose words are all the same as another's are one
     stretch, and only the smallest id of such a group enters the sort. Heads
-    with more than GROUP suffixes are dealt out by document, each part sorted
-    on its own; a passage that only two documents of different parts share is
-    then found by its other suffixes.
+    with more than GROUP suffixes are not sorted: each window that keeps such a
+    suffix gives the code of its words, and equal codes are grouped.
     """
     frame = docs.select(F.col(key).cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     with temporary(docs.sparkSession):
@@ -289,12 +324,17 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", least: int = MIN_WORDS, h
         suffixes = classes.select("text_code", "doc_id", F.explode(F.arrays_zip(F.col("heads").alias("head"), F.col("places").alias("place"))).alias("s"))
         suffixes = suffixes.select("text_code", "doc_id", "s.head", "s.place")
         often = suffixes.groupBy("head").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-        often = often.where("low <> high").select("head", F.expr(f"cast((n - 1) div {GROUP} + 1 as int)").alias("parts"))
-        often = materialize(often)  # so that the join can split a head that very many documents hold
-        part = F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part")
-        wanted = suffixes.join(often, "head").select("text_code", "doc_id", F.struct("head", "place", part).alias("suffix"))
+        often = materialize(often.where("low <> high").select("head", "n"))  # so that the join can split a head that very many documents hold
+        hot = often.where(F.col("n") > GROUP).select("head")
+        cold = suffixes.join(often.where(F.col("n") <= GROUP), "head")
+        wanted = cold.select("text_code", "doc_id", F.struct("head", "place").alias("suffix"))
         wanted = wanted.groupBy("text_code", "doc_id").agg(F.collect_list("suffix").alias("suffixes"))
         matches = _matches(_contexts(frame, wanted, head, least), head, least)
+        hottest = np.array([row["head"] for row in hot.collect()], np.int64)  # at most one in GROUP suffixes
+        if len(hottest):
+            ids = materialize(suffixes.join(F.broadcast(hot), "head").select("doc_id").distinct())
+            windows = materialize(_windows(frame.join(few(ids), "doc_id", "left_semi"), hottest, head, least))
+            matches = matches.unionByName(_hot_matches(windows, least))
         copied = classes.where("doc_id <> last").select("text_code", F.col("doc_id").alias("low"), F.col("last").alias("high"))
         copies = found.join(copied, "text_code").select(
             "doc_id", F.lit(0).alias("start_word"), F.col("n_words").alias("end_word"),

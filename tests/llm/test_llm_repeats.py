@@ -1,7 +1,8 @@
+import random
 from collections import defaultdict
 
 import pytest
-from conftest import rows_of
+from conftest import rows_of, text_of
 from tastegrid.llm import repeats
 
 
@@ -51,6 +52,23 @@ def test_hot_heads_are_dealt_out(spark, many_rows, monkeypatch):
     assert set(got) == set(want)
 
 
+def test_passages_of_two_documents_around_a_hot_head(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "GROUP", 25)
+    draw = random.Random(12)
+    line, rows = text_of(draw, 30), []
+    for _ in range(100):  # 50 words that two documents share, most of them the line of all
+        passage = f"{text_of(draw, 10)} {line} {text_of(draw, 10)}"
+        rows += [(len(rows) + k, f"{text_of(draw, 9)} {passage} {text_of(draw, 9)}", "x", "y") for k in range(2)]
+    want = brute(rows, 50)
+    assert len(want) == 200
+    assert found(rows_of(spark, rows)) == want
+
+
+def test_hot_heads_equal_brute_force(spark, many_rows, monkeypatch):
+    monkeypatch.setattr(repeats, "GROUP", 25)
+    assert found(rows_of(spark, many_rows)) == brute(many_rows, 50)
+
+
 def test_repeated_words_do_not_hide_a_passage(spark):
     rows = [(1, "a " * 80 + "b " * 30, "x", "y"), (2, "c d " + "a " * 70, "x", "y"), (3, "e " * 200, "x", "y")]
     assert found(rows_of(spark, rows)) == brute(rows, 50)
