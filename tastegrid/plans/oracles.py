@@ -331,6 +331,7 @@ def oracle_queries() -> dict[str, str]:
             SELECT user_id, CAST(rank AS INTEGER) AS rank, item_id FROM popular
             WHERE user_id NOT IN (SELECT user_id FROM seen)"""),
         "cooccurrence": _with(("neighbors",), "SELECT item_id, neighbor_id, co_count FROM neighbors"),
+        "cooccurrence_all": _with(("pair_counts",), "SELECT item_id, neighbor_id, co_count FROM pair_counts"),
         "item_neighbors": _with(("neighbors",), """
             SELECT item_id, CAST(rank AS INTEGER) AS rank, neighbor_id, round(similarity, 6) AS similarity
             FROM neighbors"""),

@@ -396,6 +396,11 @@ def cooccurrence(spark: SparkSession, folder: str) -> DataFrame:
     return _neighbors(spark, folder).select("item_id", "neighbor_id", "co_count")
 
 
+@query
+def cooccurrence_all(spark: SparkSession, folder: str) -> DataFrame:
+    return itemcf.cooccurrences(pairs.training(_train(spark, folder)).seen)
+
+
 @query
 def item_neighbors(spark: SparkSession, folder: str) -> DataFrame:
     nearest = _neighbors(spark, folder).select("item_id", "rank", "neighbor_id", "similarity")
