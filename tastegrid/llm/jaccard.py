@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tastegrid.llm.components import components
-from tastegrid.llm.frames import columns_of, few, materialize, pieces, release, temporary
+from tastegrid.llm.frames import add_columns, columns_of, few, materialize, pieces, release, temporary
 from tastegrid.llm.text import mixed, shingles, words
 from tastegrid.session import materialize as keep
 
@@ -275,6 +275,11 @@ def join_groups(docs: DataFrame, key: str = "doc_id", length: int = WORDS, perce
     their size. Rows that repeat an id are rows of their own; null ids link
     others but a component takes its name from ids that aren't null.
     """
+    return _grouped(docs, key, length, percent).drop("set_id")
+
+
+def _grouped(docs: DataFrame, key: str, length: int, percent: int) -> DataFrame:
+    """Rows of doc_id, set_id, n_shingles and component_id, one per row of `docs`."""
     frame = docs.select(F.col(key).cast("long").alias("doc_id"), "text")
     found = sketches(frame, length, percent)
     with temporary(docs.sparkSession):
@@ -296,7 +301,7 @@ def join_groups(docs: DataFrame, key: str = "doc_id", length: int = WORDS, perce
         names = keep(_names(classes, final))
     rows = found.select("doc_id", "n_shingles", "set_id").join(names, "set_id", "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), own.alias("component_id"))
+    return rows.select("doc_id", "set_id", F.col("n_shingles").cast("long").alias("n_shingles"), own.alias("component_id"))
 
 
 def _names(classes: DataFrame, final: DataFrame) -> DataFrame:
@@ -313,12 +318,31 @@ def keep_one(docs: DataFrame, key: str = "doc_id", length: int = WORDS, percent:
     Texts without words and rows with null ids stay. Rows that repeat id and
     text stay once; rows that share an id and differ in text are kept.
     """
-    groups = keep(join_groups(docs, key, length, percent))
-    rest = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
+    groups = keep(_grouped(docs, key, length, percent))
+    dropped = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(key), "set_id").distinct()
+    rest = dropped.select(key).distinct()
     kept = docs.join(few(rest), key, "left_anti").select(*columns_of(docs))
+    parted = groups.groupBy("doc_id").agg(F.min(F.expr("doc_id <> component_id")).alias("all"), F.max(F.expr("doc_id <> component_id")).alias("any"))
+    parted = parted.where("any AND NOT all").select(F.col("doc_id").alias(key))
+    if not parted.isEmpty():  # ids of which some texts are dropped and others not
+        kept = kept.unionByName(_other_sets(docs.join(few(parted), key, "left_semi").select(*columns_of(docs)), dropped, key, length))
     again = groups.where("doc_id = component_id AND n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if again.isEmpty():
         return kept
     repeated = again.select(F.col("doc_id").alias(key))
     once = kept.join(repeated, key, "left_semi").dropDuplicates([key, "text"]).select(*columns_of(docs))
     return kept.join(repeated, key, "left_anti").select(*columns_of(docs)).unionByName(once)
+
+
+def _other_sets(docs: DataFrame, dropped: DataFrame, key: str, length: int) -> DataFrame:
+    """The rows of `docs` whose id and set are not in `dropped`."""
+    name = "set_id"
+    while name.lower() in (column.lower() for column in docs.columns):
+        name = f"_{name}"
+
+    def coded(arrays: list[pa.Array]) -> dict[str, pa.Array]:
+        cut = words(arrays[0])
+        return {name: pa.array([set_code(shingles(cut.code[a:b], length)) for a, b in zip(cut.of[:-1], cut.of[1:])], pa.int64())}
+
+    marked = add_columns(docs, ["text"], coded, f"{name} long")
+    return marked.join(dropped.withColumnRenamed("set_id", name), [key, name], "left_anti").select(*columns_of(docs))

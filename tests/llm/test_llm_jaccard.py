@@ -1,9 +1,10 @@
+import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from conftest import rows_of
+from conftest import rows_of, text_of
 from tastegrid.llm import components, jaccard
 
 
@@ -63,6 +64,17 @@ def test_one_of_each_group_stays(edge_docs):
     assert ids == sorted(map(str, [None, None, 1, 4, 5, 6, 7, 9, 10, 11, 12, 13, 14, 14]))
 
 
+def test_an_id_with_a_duplicate_and_a_unique_text(spark):
+    draw = random.Random(6)
+    copied, own, other = (text_of(draw, 60) for _ in range(3))
+    rows = [(1, copied), (2, copied), (2, own), (2, own), (2, None), (2, ""), (3, copied), (3, copied), (4, other)]
+    frame = rows_of(spark, [(doc, text, "en", "src0") for doc, text in rows])
+    kept = jaccard.keep_one(frame)
+    assert kept.columns == frame.columns
+    found = sorted(((row["doc_id"], row["text"]) for row in kept.collect()), key=str)
+    assert found == sorted([(1, copied), (2, own), (2, None), (2, ""), (4, other)], key=str)
+
+
 def test_divide_skip_equals_counting():
     draw = np.random.default_rng(3)
     sets = [np.unique(draw.integers(0, 60, draw.integers(1, 50))) for _ in range(120)]
