@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tastegrid.llm import (
+    alignment,
+    bytebpe,
     decontaminate,
     html,
     jaccard,
@@ -122,3 +124,14 @@ def op8_main_text(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op1_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.find_repeats(table(spark, folder, "documents"))
+
+
+@query
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(table(spark, folder, "documents"))
+
+
+@query
+def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return bytebpe.digests(bytebpe.encode(docs).drop("text"))
