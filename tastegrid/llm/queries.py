@@ -18,6 +18,7 @@ from tastegrid.llm import (
     neighbors,
     quality,
     repeats,
+    spelling,
     tokens,
     toxicity,
 )
@@ -126,6 +127,11 @@ def op1_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.find_repeats(table(spark, folder, "documents"))
 
 
+@query
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.group_variants(table(spark, folder, "documents"))
+
+
 @query
 def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.align(table(spark, folder, "documents"))
