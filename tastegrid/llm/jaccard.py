@@ -14,11 +14,13 @@ occurs T minus that number of times is looked up in the long ones by binary
 search, and documents reaching the overlap stay.
 
 Equal sets are one class. Lists with the same smallest class, their leader, are
-one group. Each class is first compared with one leader only, and the classes
-so linked become components. In the groups that still hold several components,
-all members outside the largest one are queries against all members, in
-blocks. So a large group of near copies is not compared pair by pair, and no
-link that would join two components is lost.
+one group. Each class is first compared with a few members of one group only,
+and the classes so linked become components. In the groups that still hold
+several components, all members outside the largest one are queries against all
+members, in blocks. So a large group of near copies is not compared pair by
+pair, and no link that would join two components is lost. A task leaves out
+links inside what it has joined already, so it gives out fewer links than it
+has components.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastegrid.llm.components import components
@@ -39,8 +41,11 @@ WORDS = 4
 PERCENT = 85
 #: Share of all hash values below which shingles are given out.
 SAMPLED = 0.22
-#: Members of a list that one task searches at a time.
+#: Members of a list that are searched at a time, and how many such blocks one after another.
 BLOCK = 256
+RUN = 16
+#: Members of each group that the others are compared with first.
+LEADERS = 16
 _LIMIT = np.uint64(int(SAMPLED * 2**64))
 
 
@@ -112,8 +117,8 @@ class InvertedIndex:
         self.codes, starts = np.unique(flat[order], return_index=True)
         self.owner, self.ends = owner[order], np.append(starts, len(flat))
 
-    def search(self, query: np.ndarray, percent: int) -> np.ndarray:
-        """The sets linked with `query`, by DivideSkip."""
+    def search(self, query: np.ndarray, percent: int, wanted: np.ndarray | None = None) -> np.ndarray:
+        """The sets linked with `query`, by DivideSkip; of those marked in `wanted` if given."""
         if not len(query) or not len(self.codes):
             return np.zeros(0, np.int64)
         least = int(needed(len(query), percent))
@@ -128,6 +133,8 @@ class InvertedIndex:
         merged = np.concatenate([self.owner[self.ends[k] : self.ends[k + 1]] for k in short])
         merged, counts = np.unique(merged, return_counts=True)
         enough = counts >= least - aside
+        if wanted is not None:
+            enough &= wanted[merged]
         found, counts = merged[enough], counts[enough]
         for done, k in enumerate(long):
             held = self.owner[self.ends[k] : self.ends[k + 1]]
@@ -143,22 +150,14 @@ def _search_groups(rows: DataFrame, percent: int) -> DataFrame:
     """Links a-b between the queries and the indexed sets of each group.
 
     `rows` holds g1, g2, g3 (the group), role (1: query, 2: indexed, 3: both),
-    component, set_id and codes. Members of one component are not linked again.
+    component, set_id and codes. A link is left out if links given out before
+    by the same task join its components.
     """
     group = ["g1", "g2", "g3"]
 
-    def links(members: list[dict]) -> Iterator[tuple[int, int]]:
-        indexed = [row for row in members if row["role"] & 2]
-        index = InvertedIndex([row["codes"] for row in indexed])
-        for row in members:
-            if row["role"] & 1:
-                for place in index.search(row["codes"], percent):
-                    other = indexed[place]
-                    if other["component"] != row["component"]:
-                        yield row["component"], other["component"]
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, members, found = None, [], set()
+        now, members, joined = None, [], Joined()
+        found: list[tuple[int, int]] = []
         for batch in batches:
             columns = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in (*group, "role", "component")}
             codes = batch.column("codes")
@@ -166,27 +165,61 @@ def _search_groups(rows: DataFrame, percent: int) -> DataFrame:
             for row in range(batch.num_rows):
                 name = tuple(columns[part][row] for part in group)
                 if name != now:
-                    found.update(links(members))
+                    found += _links(members, joined, percent)
                     now, members = name, []
-                members.append(
-                    {"role": int(columns["role"][row]), "component": int(columns["component"][row]),
-                     "codes": flat[ends[row] : ends[row + 1]].copy()}
-                )
+                members.append((int(columns["role"][row]), int(columns["component"][row]), flat[ends[row] : ends[row + 1]].copy()))
             if found:
                 yield _edges(found)
-                found = set()
+                found = []
             release()
-        found.update(links(members))
+        found += _links(members, joined, percent)
         yield _edges(found)
         members.clear()
         release()
 
-    ordered = rows.repartition(*group).sortWithinPartitions(*group)
+    # a task gets some blocks with the same queries, so that it sees what is joined already
+    part = F.floor(F.col("g3") / RUN)
+    ordered = rows.repartition("g1", "g2", part).sortWithinPartitions(*group)
     return ordered.select(*group, "role", "component", "codes").mapInArrow(run, "a long, b long").distinct()
 
 
-def _edges(found: set[tuple[int, int]]) -> pa.RecordBatch:
-    table = np.array(sorted(found), np.int64).reshape(-1, 2)
+class Joined:
+    """Components and which of them are known to be one."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def root(self, node: int) -> int:
+        path = []
+        while (above := self.parent.get(node, node)) != node:
+            path.append(node)
+            node = above
+        for one in path:
+            self.parent[one] = node
+        return node
+
+
+def _links(members: list[tuple[int, int, np.ndarray]], joined: Joined, percent: int) -> Iterator[tuple[int, int]]:
+    """Links of a group that join what isn't joined."""
+    indexed = [row for row in members if row[0] & 2]
+    roots = np.array([joined.root(component) for _, component, _ in indexed], np.int64)
+    index = None
+    for role, component, codes in members:
+        if not role & 1:
+            continue
+        own = joined.root(component)
+        others = roots != own
+        if not others.any():
+            continue
+        index = index or InvertedIndex([row[2] for row in indexed])
+        for other in np.unique(roots[index.search(codes, percent, others)]).tolist():
+            yield component, other
+            joined.parent[other] = own
+            roots[roots == other] = own
+
+
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    table = np.array(found, np.int64).reshape(-1, 2)
     return pa.RecordBatch.from_arrays([pa.array(table[:, 0]), pa.array(table[:, 1])], ["a", "b"])
 
 
@@ -218,7 +251,7 @@ def _led(keys: DataFrame) -> DataFrame:
 
 
 def _first_links(led: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of each class with the leader that it shares most keys with."""
+    """Links of each class with LEADERS members of the group that it shares most keys with."""
     shared = led.where("set_id <> leader")
     best = shared.groupBy("set_id").agg(F.min_by("leader", F.struct(-F.col("n"), F.col("leader"))).alias("leader"))
     best = materialize(best)
@@ -227,9 +260,11 @@ def _first_links(led: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     members = best.join(blocks, "leader").select(
         F.col("leader").alias("g1"), F.pmod(F.xxhash64("set_id"), "blocks").cast("int").alias("g2"), F.lit(2).alias("role"), "set_id",
     )
-    queries = blocks.select(
-        F.col("leader").alias("g1"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("g2"), F.lit(1).alias("role"),
-        F.col("leader").alias("set_id"),
+    order = Window.partitionBy("leader").orderBy(F.xxhash64("set_id"), "set_id")
+    some = best.withColumn("place", F.row_number().over(order)).where(F.col("place") < LEADERS).drop("place")
+    chosen = some.unionByName(blocks.select(F.col("leader").alias("set_id"), "leader"))
+    queries = chosen.join(blocks, "leader").select(
+        F.col("leader").alias("g1"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("g2"), F.lit(1).alias("role"), "set_id",
     )
     rows = members.union(queries).join(sets, "set_id").withColumns({"g3": F.lit(0), "component": F.col("set_id")})
     return _search_groups(rows, percent)
@@ -281,8 +316,8 @@ def join_groups(docs: DataFrame, key: str = "doc_id", length: int = WORDS, perce
 def _grouped(docs: DataFrame, key: str, length: int, percent: int) -> DataFrame:
     """Rows of doc_id, set_id, n_shingles and component_id, one per row of `docs`."""
     frame = docs.select(F.col(key).cast("long").alias("doc_id"), "text")
-    found = sketches(frame, length, percent)
     with temporary(docs.sparkSession):
+        found = materialize(sketches(frame, length, percent))
         classes = found.where("n_shingles > 0").groupBy("set_id").agg(
             F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")
         )
@@ -298,10 +333,11 @@ def _grouped(docs: DataFrame, key: str, length: int, percent: int) -> DataFrame:
         final = named.join(later.toDF("component", "top"), "component", "left").select(
             "set_id", F.coalesce("top", "component").alias("component")
         )
-        names = keep(_names(classes, final))
-    rows = found.select("doc_id", "n_shingles", "set_id").join(names, "set_id", "left")
-    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select("doc_id", "set_id", F.col("n_shingles").cast("long").alias("n_shingles"), own.alias("component_id"))
+        rows = found.select("doc_id", "n_shingles", "set_id").join(_names(classes, final), "set_id", "left")
+        own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+        return keep(
+            rows.select("doc_id", "set_id", F.col("n_shingles").cast("long").alias("n_shingles"), own.alias("component_id"))
+        )
 
 
 def _names(classes: DataFrame, final: DataFrame) -> DataFrame:
@@ -318,7 +354,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", length: int = WORDS, percent:
     Texts without words and rows with null ids stay. Rows that repeat id and
     text stay once; rows that share an id and differ in text are kept.
     """
-    groups = keep(_grouped(docs, key, length, percent))
+    groups = _grouped(docs, key, length, percent)
     dropped = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(key), "set_id").distinct()
     rest = dropped.select(key).distinct()
     kept = docs.join(few(rest), key, "left_anti").select(*columns_of(docs))

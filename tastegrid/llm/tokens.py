@@ -31,9 +31,9 @@ from tastegrid.session import materialize, scratch_path
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Distinct parts of words whose ids a worker keeps (about 30 bytes each).
-KNOWN_PARTS = 1_000_000
-#: Larger pieces than elsewhere, as new parts are merged into the known ones once per piece.
-_PIECE_BYTES = 1 << 20
+KNOWN_PARTS = 500_000
+#: Bytes of text that are encoded at a time.
+_PIECE_BYTES = 1 << 18
 SHARD_BYTES = 64 << 20
 
 
@@ -83,12 +83,11 @@ class PartEncoder(WholeEncoder):
     def __init__(self, path: str) -> None:
         super().__init__(path)
         self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
-        self.codes = np.zeros(0, np.uint64)
-        self._store(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
+        self._forget()
 
-    def _store(self, codes: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
-        self.codes, self.sizes, self.ids = codes, sizes, ids
-        self.starts = np.cumsum(sizes) - sizes
+    def _forget(self) -> None:
+        self.codes, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.sizes, self.starts = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def _learn(self, codes: np.ndarray, parts: list[str]) -> None:
         found = [
@@ -96,14 +95,15 @@ class PartEncoder(WholeEncoder):
             for start in range(0, len(parts), 4096)
             for one in self.tokenizer.encode_batch_fast(parts[start : start + 4096], add_special_tokens=False)
         ]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        sizes = np.fromiter(map(len, found), np.int32, len(found))
         ids = np.fromiter((one for own in found for one in own), np.uint32, sizes.sum())
-        if len(self.codes) + len(codes) <= KNOWN_PARTS:
-            codes, ids = np.append(self.codes, codes), np.append(self.ids, ids)
-            sizes = np.append(self.sizes, sizes)
-        order = np.argsort(codes, kind="stable")
-        starts = np.cumsum(sizes) - sizes
-        self._store(codes[order], sizes[order], ids[_ranges(starts[order], sizes[order])])
+        starts = len(self.ids) + np.cumsum(sizes, dtype=np.int64) - sizes
+        # codes stay in order, ids in the order of learning
+        place = np.searchsorted(self.codes, codes)
+        self.codes = np.insert(self.codes, place, codes)
+        self.sizes = np.insert(self.sizes, place, sizes)
+        self.starts = np.insert(self.starts, place, starts)
+        self.ids = np.append(self.ids, ids)
 
     def _place(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         place = np.searchsorted(self.codes, codes)
@@ -119,7 +119,7 @@ class PartEncoder(WholeEncoder):
             new = np.flatnonzero(~known)
             if len(self.codes) + len(new) > KNOWN_PARTS:  # start anew with this batch
                 new = np.arange(len(codes))
-                self._store(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
+                self._forget()
             data = cut.data.tobytes()
             at = zip(cut.begin[first[new]], cut.end[first[new]])
             self._learn(codes[new], [data[a:b].decode() for a, b in at])

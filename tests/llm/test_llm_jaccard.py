@@ -14,9 +14,9 @@ def shingle_set(text, length=4):
     return frozenset(tuple(words[k : k + length]) for k in range(max(1, len(words) - length + 1))) if words else frozenset()
 
 
-def brute(rows):
+def brute(rows, length=4, percent=85):
     """One (doc_id, size, component) per row, by comparing all sets that share a shingle."""
-    sets = [shingle_set(text) for _, text, *_ in rows]
+    sets = [shingle_set(text, length) for _, text, *_ in rows]
     parent = list(range(len(rows)))
 
     def root(x):
@@ -27,7 +27,7 @@ def brute(rows):
     lists = defaultdict(list)
     for place, own in enumerate(sets):
         for other, shared in Counter(k for s in own for k in lists[s]).items():
-            if 100 * shared >= 85 * (len(own) + len(sets[other]) - shared):
+            if 100 * shared >= percent * (len(own) + len(sets[other]) - shared):
                 parent[root(place)] = root(other)
         for s in own:
             lists[s].append(place)
@@ -91,3 +91,37 @@ def test_components_of_a_chain_a_star_and_pairs(spark):
     got = dict(components.components(spark.createDataFrame(edges, "a long, b long")).collect())
     want = {k: 0 for k in range(41)} | {k: 100 for k in range(100, 160)} | {499: 499, 500: 499}
     assert got == want
+
+
+@pytest.mark.parametrize("settings", [{}, {"LEADERS": 4, "BLOCK": 64, "RUN": 2}])
+def test_links_given_out_are_in_proportion_to_the_texts(spark, monkeypatch, settings):
+    """Near copies of which hardly any link with a given one, at two sizes."""
+    for name, value in settings.items():
+        monkeypatch.setattr(jaccard, name, value)
+    counted = []
+    monkeypatch.setattr(jaccard, "components", lambda edges: counted.append(edges.count()) or components.components(edges))
+    draw = random.Random(2)
+    base = text_of(draw, 200).split()
+    per_text = []
+    for size in (100, 300):
+        rows = []
+        for doc in range(size):
+            own = list(base)
+            for _ in range(draw.randint(1, 6)):
+                own[draw.randrange(200)] = text_of(draw, 1)
+            rows.append((doc, " ".join(own), "en", "src0"))
+        counted.clear()
+        assert found(rows_of(spark, rows)) == brute(rows)
+        per_text.append(sum(counted) / size)
+    assert per_text[1] < 1.6 * max(per_text[0], 1)
+
+
+def test_a_chain_whose_members_do_not_link_with_most_others(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "LEADERS", 2)
+    draw = random.Random(5)
+    words = text_of(draw, 700).split()
+    rows = [(step, " ".join(words[8 * step : 8 * step + 150]), "en", "src0") for step in range(60)]
+    draw.shuffle(rows)
+    want = brute(rows)
+    assert {row[2] for row in want} == {0} and found(rows_of(spark, rows)) == want

@@ -27,7 +27,7 @@ def brute(spark, rows, items):
         if ok and chance.max() >= corpus_pipeline.LEAST_LIKELY
     ]
     sizes = [len(kept)]
-    least = {doc: component for doc, _, component in test_llm_jaccard.brute(kept)}
+    least = {doc: component for doc, _, component in test_llm_jaccard.brute(kept, 5, 80)}
     kept = [row for row in dict.fromkeys(kept) if least[row[0]] == row[0]]
     sizes.append(len(kept))
     leaked = {found[0] for found in test_llm_decontaminate.brute(kept, items)}
