@@ -13,6 +13,8 @@ from tastegrid.session import materialize as keep
 
 #: A document stays when its language is at least this likely.
 LEAST_LIKELY = 0.5
+#: Documents are near duplicates when their shingles of so many words are alike to so many percent.
+SHINGLE_WORDS, LEAST_ALIKE = 5, 80
 MIX = mixing.Mix(mixing.DEFAULT_WEIGHTS, percent=60, max_epochs=1)
 
 
@@ -28,22 +30,38 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest id of each group of linked documents, and what links with nothing."""
-    return jaccard.keep_one(docs)
+    """Keep the smallest id of each group of linked documents, and what links with nothing.
+
+    Texts without words and rows with null ids stay; rows that repeat id and
+    text stay once, and rows that share an id and differ in text each count.
+    """
+    return jaccard.keep_one(docs, length=SHINGLE_WORDS, percent=LEAST_ALIKE)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold an item of the benchmark."""
+    """Drop documents that hold an item of the benchmark.
+
+    Null and empty texts hold none, null and empty items are in none, and rows
+    that repeat an id or have none are rows of their own.
+    """
     return decontaminate.drop_leaked(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take documents from the tree of sources until the budget of tokens is spent."""
+    """Take documents from the tree of sources until the budget of tokens is spent.
+
+    Null sources and languages are leaves of their own; ties and repeated rows
+    are put in one order by hashes, id and text. Of no rows, none are taken.
+    """
     return mixing.mix_documents(docs, MIX, prefix="__mix_").select(*columns_of(docs))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Write token ids and offsets and read them back, a row per document."""
+    """Write token ids and offsets and read them back, a row per document.
+
+    Null and empty texts are their end id alone; null ids come first, and rows
+    that repeat an id follow one another by text.
+    """
     read = tokens.read(spark, tokens.write(docs))
     return read.select("doc_id", "start", "n_tokens", tokens.crc32_of("ids").alias("ids_crc32"))
 
