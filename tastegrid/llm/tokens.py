@@ -31,9 +31,9 @@ from tastegrid.session import materialize, scratch_path
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Distinct parts of words whose ids a worker keeps (about 30 bytes each).
-KNOWN_PARTS = 500_000
+KNOWN_PARTS = 1_000_000
 #: Bytes of text that are encoded at a time.
-_PIECE_BYTES = 1 << 18
+_PIECE_BYTES = 1 << 19
 SHARD_BYTES = 64 << 20
 
 
