@@ -30,9 +30,9 @@ def places(values, keys: pa.Array) -> np.ndarray:
     return pc.fill_null(found, -1).to_numpy().astype(np.int64)
 
 
-def lists(values: np.ndarray) -> pa.Array:
+def lists(values: np.ndarray, dtype=np.float64) -> pa.Array:
     """Rows of a 2-d array as a list column."""
     offsets = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
-    kind = pa.list_(pa.field("element", pa.float64()))
-    flat = pa.array(np.ascontiguousarray(values, dtype=np.float64).reshape(-1))
+    kind = pa.list_(pa.field("element", pa.from_numpy_dtype(dtype)))
+    flat = pa.array(np.ascontiguousarray(values, dtype=dtype).reshape(-1))
     return pa.ListArray.from_arrays(pa.array(offsets), flat, type=kind)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-K, NEIGHBORS, HISTORY, SEED = 20, 100, 20, 2026
+K, NEIGHBORS, HISTORY, SEED, PARTS = 20, 100, 20, 2026, 4
 
 # Named parts; each lists the parts it reads.
 _PARTS: dict[str, tuple[tuple[str, ...], str]] = {
@@ -356,16 +356,21 @@ def oracle_queries() -> dict[str, str]:
                  ON n.user_id = c.user_id
             WHERE n.n_items < (SELECT count(DISTINCT item_id) FROM click_log)"""),
         "bpr_negatives": _with(("seen", "items"), f"""
-            , positions AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS position FROM items),
+            , parted AS (
+                SELECT item_id, CAST(CAST('0x' || substr(md5(concat(item_id, ':0')), 1, 15) AS BIGINT) % {PARTS}
+                       AS INTEGER) AS part FROM items),
+            positions AS (
+                SELECT item_id, part, row_number() OVER (PARTITION BY part ORDER BY item_id) - 1 AS position,
+                       count(*) OVER (PARTITION BY part) AS size FROM parted),
             tries AS (
-                SELECT s.user_id, s.item_id, a.attempt, CAST('0x' || substr(md5(
+                SELECT s.user_id, s.item_id, p.part, a.attempt, CAST('0x' || substr(md5(
                            concat(s.user_id, ':', s.item_id, ':{SEED}:0:', a.attempt)), 1, 15) AS BIGINT)
-                       % (SELECT count(*) FROM items) AS position
-                FROM seen s CROSS JOIN (SELECT unnest(range(40)) AS attempt) a)
-            SELECT t.user_id, t.item_id, arg_min(p.item_id, t.attempt) AS negative_id
-            FROM tries t JOIN positions p USING (position)
+                       % p.size AS position
+                FROM seen s JOIN positions p USING (item_id) CROSS JOIN (SELECT unnest(range(40)) AS attempt) a)
+            SELECT t.user_id, t.item_id, t.part, CAST(0 AS INTEGER) AS shift, arg_min(p.item_id, t.attempt) AS negative_id
+            FROM tries t JOIN positions p ON p.part = t.part AND p.position = t.position
             ANTI JOIN seen s ON s.user_id = t.user_id AND s.item_id = p.item_id
-            GROUP BY t.user_id, t.item_id""").replace("\n\n            , positions", ", positions"),
+            GROUP BY t.user_id, t.item_id, t.part""").replace("\n\n            , parted", ", parted"),
         "hits": _with(("popular", "truth_validation"), """
             SELECT r.user_id, CAST(r.rank AS INTEGER) AS rank, r.item_id,
                    CAST(t.item_id IS NOT NULL AS INTEGER) AS hit

@@ -24,6 +24,7 @@ K = 20
 KS = [5, 10, 20]
 NEIGHBORS = 100
 HISTORY = 20
+PARTS = 4
 SEED = 2026
 RUN_TIMES = ("fit_seconds", "milliseconds_per_user")
 USER_COLUMNS = (("segment", "nation"), ("balance",))
@@ -450,8 +451,8 @@ def bpr_negatives(spark: SparkSession, folder: str) -> DataFrame:
     data = pairs.training(_train(spark, folder))
     n_catalog = data.popularity.count()
     eligible = materialize(bpr.eligible_pairs(data.seen, n_catalog))
-    positions, spans = bpr.catalog_parts(data.items, 1, 0)
-    return bpr.sample_negatives(eligible, data.seen, positions, spans, 1, SEED, 0).drop("part")
+    positions, spans = bpr.catalog_parts(data.items, PARTS, 0)
+    return bpr.sample_negatives(eligible, data.seen, positions, spans, PARTS, SEED, 0)
 
 
 @query
