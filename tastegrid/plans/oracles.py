@@ -134,6 +134,11 @@ _PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "attached": (("customers", "customer_table"), """
         SELECT u.user_id, t.segment, t.nation, t.balance
         FROM customers u LEFT JOIN customer_table t ON t.user_id = u.user_id"""),
+    "sold": (("log",), """
+        SELECT i.item_id, p_brand AS brand, p_type AS kind,
+               CASE WHEN i.item_id % 7 <> 0 THEN CAST(p_size AS DOUBLE) END AS size,
+               CAST(p_retailprice AS DOUBLE) AS price
+        FROM (SELECT DISTINCT item_id FROM log) i LEFT JOIN part ON p_partkey = i.item_id"""),
     "firsts": (("train",), """
         SELECT * FROM (
             SELECT *, row_number() OVER (PARTITION BY user_id, item_id
@@ -205,12 +210,44 @@ def oracle_queries() -> dict[str, str]:
             SELECT user_id, item_id, epoch_us(event_time) AS event_time, label, event_id
             FROM click_log"""),
         "load_logs": _with(("train", "future", "audit"), """
-            SELECT 'history' AS log, count(*) AS interactions FROM train
-            UNION ALL SELECT 'future', count(*) FROM future
-            UNION ALL SELECT 'random_audit', count(*) FROM audit"""),
+            SELECT log, user_id, item_id, epoch_us(event_time) AS event_time, label,
+                   l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_suppkey
+            FROM (SELECT 'history' AS log, * FROM train
+                  UNION ALL SELECT 'future', * FROM future
+                  UNION ALL SELECT 'random_audit', * FROM audit)"""),
+        "prepare": _with(("train", "strict", "audit"), """
+            SELECT split, count(*) AS interactions, count(DISTINCT user_id) AS users,
+                   count(DISTINCT item_id) AS items, epoch_us(min(event_time)) AS start_time,
+                   epoch_us(max(event_time)) AS end_time, round(avg(label), 6) AS positive_rate,
+                   count(*) AS rows_read, CAST(sum(label) AS BIGINT) AS positives_read
+            FROM (SELECT 'train' AS split, user_id, item_id, event_time, label FROM train
+                  UNION ALL SELECT 'random_audit', user_id, item_id, event_time, label FROM audit
+                  UNION ALL
+                  SELECT CASE WHEN rn <= greatest(least(floor(n * 0.5), n - 1), 1) THEN 'validation' ELSE 'test' END,
+                         user_id, item_id, event_time, label
+                  FROM (SELECT *, count(*) OVER () AS n, row_number() OVER (
+                            ORDER BY event_time, CAST(user_id AS VARCHAR), CAST(item_id AS VARCHAR), label,
+                                     CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR),
+                                     CAST(l_suppkey AS VARCHAR)) AS rn
+                        FROM strict))
+            GROUP BY split"""),
         "load_features": _with(("customer_table",), """
-            SELECT 'user' AS side, user_id AS id, segment AS category FROM customer_table
-            UNION ALL SELECT 'item', p_partkey, p_brand FROM part"""),
+            SELECT 'user' AS side, user_id AS id, f.feature, f.value, f.number FROM customer_table,
+                 LATERAL (SELECT unnest(['segment', 'nation', 'balance']) AS feature,
+                                 unnest([segment, CAST(nation AS VARCHAR), NULL]) AS value,
+                                 unnest([NULL, NULL, balance]) AS number) f
+            UNION ALL
+            SELECT 'item', p_partkey, f.feature, f.value, f.number FROM part,
+                 LATERAL (SELECT unnest(['brand', 'kind', 'size', 'price']) AS feature,
+                                 unnest([p_brand, p_type, NULL, NULL]) AS value,
+                                 unnest([NULL, NULL, CAST(p_size AS DOUBLE), CAST(p_retailprice AS DOUBLE)]) AS number) f"""),
+        "splits_csv_roundtrip": _with(("train", "validation", "test", "audit"), """
+            SELECT split, user_id, item_id, CAST(event_time AS VARCHAR) AS event_time, label,
+                   l_orderkey, l_linenumber, l_suppkey
+            FROM (SELECT 'train' AS split, user_id, item_id, event_time, label, l_orderkey, l_linenumber, l_suppkey FROM train
+                  UNION ALL SELECT 'validation', user_id, item_id, event_time, label, l_orderkey, l_linenumber, l_suppkey FROM validation
+                  UNION ALL SELECT 'test', user_id, item_id, event_time, label, l_orderkey, l_linenumber, l_suppkey FROM test
+                  UNION ALL SELECT 'random_audit', user_id, item_id, event_time, label, l_orderkey, l_linenumber, l_suppkey FROM audit)"""),
         "split_roundtrip": _with(("stacked",), """
             SELECT split, user_id, item_id, CAST(event_time AS VARCHAR) AS event_time, label FROM stacked"""),
         "positives": _with(("log",), """
@@ -259,17 +296,23 @@ def oracle_queries() -> dict[str, str]:
             SELECT DISTINCT user_id FROM seen
             WHERE user_id IN (SELECT user_id FROM truth_validation)"""),
         "feature_join": _with(("attached",), "SELECT * FROM attached"),
-        "categorical_codes": _with(("attached",), """
-            SELECT user_id, feature, value,
-                   dense_rank() OVER (PARTITION BY feature ORDER BY value) - 1 AS code
-            FROM (SELECT user_id, 'segment' AS feature, coalesce(segment, '__MISSING__') AS value FROM attached
+        "categorical_codes": _with(("attached", "sold"), """
+            SELECT side, id, feature, value,
+                   dense_rank() OVER (PARTITION BY side, feature ORDER BY value) - 1 AS code
+            FROM (SELECT 'user' AS side, user_id AS id, 'segment' AS feature,
+                         coalesce(segment, '__MISSING__') AS value FROM attached
                   UNION ALL
-                  SELECT user_id, 'nation', coalesce(CAST(nation AS VARCHAR), '__MISSING__') FROM attached)"""),
-        "numeric_features": _with(("attached",), """
-            SELECT user_id, round((x - avg(x) OVER ()) / stddev_pop(x) OVER (), 6) AS balance
-            FROM (SELECT user_id, sign(v) * ln(1 + abs(v)) AS x
-                  FROM (SELECT user_id, coalesce(balance, (SELECT median(balance) FROM attached)) AS v
-                        FROM attached))"""),
+                  SELECT 'user', user_id, 'nation', coalesce(CAST(nation AS VARCHAR), '__MISSING__') FROM attached
+                  UNION ALL SELECT 'item', item_id, 'brand', coalesce(brand, '__MISSING__') FROM sold
+                  UNION ALL SELECT 'item', item_id, 'kind', coalesce(kind, '__MISSING__') FROM sold)"""),
+        "numeric_features": _with(("attached", "sold"), """
+            SELECT side, id, feature,
+                   round((x - avg(x) OVER (PARTITION BY feature)) / stddev_pop(x) OVER (PARTITION BY feature), 6) AS number
+            FROM (SELECT side, id, feature, sign(v) * ln(1 + abs(v)) AS x
+                  FROM (SELECT side, id, feature, coalesce(v, median(v) OVER (PARTITION BY feature)) AS v
+                        FROM (SELECT 'user' AS side, user_id AS id, 'balance' AS feature, balance AS v FROM attached
+                              UNION ALL SELECT 'item', item_id, 'size', size FROM sold
+                              UNION ALL SELECT 'item', item_id, 'price', price FROM sold)))"""),
         "causal_history": _with(("firsts",), f"""
             SELECT user_id, item_id, coalesce(array_to_string(list(item_id) OVER (
                 PARTITION BY user_id
@@ -330,8 +373,8 @@ def oracle_queries() -> dict[str, str]:
         "fallback_topk": _with(("popular", "seen"), """
             SELECT user_id, CAST(rank AS INTEGER) AS rank, item_id FROM popular
             WHERE user_id NOT IN (SELECT user_id FROM seen)"""),
-        "cooccurrence": _with(("neighbors",), "SELECT item_id, neighbor_id, co_count FROM neighbors"),
-        "cooccurrence_all": _with(("pair_counts",), "SELECT item_id, neighbor_id, co_count FROM pair_counts"),
+        "nearest_cooccurrence": _with(("neighbors",), "SELECT item_id, neighbor_id, co_count FROM neighbors"),
+        "cooccurrence": _with(("pair_counts",), "SELECT item_id, neighbor_id, co_count FROM pair_counts"),
         "item_neighbors": _with(("neighbors",), """
             SELECT item_id, CAST(rank AS INTEGER) AS rank, neighbor_id, round(similarity, 6) AS similarity
             FROM neighbors"""),
@@ -433,7 +476,47 @@ def oracle_queries() -> dict[str, str]:
                       SELECT * FROM popular WHERE user_id IN (SELECT user_id FROM truth_validation)) r
                       ON r.item_id = g.item_id
                   GROUP BY g.segment) s ON s.segment = m.segment"""),
-        "benchmark": _with(("recs", "overall"), """
-            SELECT model, split, k, recall, hit_rate, ndcg, coverage, evaluated_users
-            FROM overall WHERE k = 20"""),
+        "benchmark": _with(("recs", "overall", "per_user", "shown", "truth", "user_groups", "item_groups", "items"), f"""
+            , grouped_users AS (
+                SELECT m.model, m.split, m.segment, m.recall, m.hit_rate, m.ndcg, c.coverage, m.evaluated_users
+                FROM (SELECT model, split, coalesce(g.segment, 'zero_positive') AS segment, {metrics},
+                             count(*) AS evaluated_users
+                      FROM per_user p LEFT JOIN user_groups g ON g.user_id = p.user_id
+                      WHERE k = 20 GROUP BY 1, 2, 3) m
+                JOIN (SELECT model, split, coalesce(g.segment, 'zero_positive') AS segment,
+                             round(count(DISTINCT p.item_id) / (SELECT count(*) FROM items), 6) AS coverage
+                      FROM shown p LEFT JOIN user_groups g ON g.user_id = p.user_id
+                      WHERE k = 20 GROUP BY 1, 2, 3) c
+                     ON c.model = m.model AND c.split = m.split AND c.segment = m.segment),
+            item_hits AS (
+                SELECT m.model, t.split, g.segment, t.user_id, count(*) AS n_relevant, count(r.item_id) AS n_hits,
+                       coalesce(sum(1 / log2(r.rank + 1)), 0.0) AS gain
+                FROM truth t JOIN item_groups g ON g.item_id = t.item_id
+                CROSS JOIN (SELECT unnest(['popularity', 'itemcf']) AS model) m
+                LEFT JOIN recs r ON r.model = m.model AND r.user_id = t.user_id AND r.item_id = t.item_id
+                GROUP BY m.model, t.split, g.segment, t.user_id),
+            item_means AS (
+                SELECT model, split, segment, {metrics}, count(*) AS evaluated_users
+                FROM (SELECT model, split, segment, n_hits / n_relevant AS recall,
+                             CAST(n_hits > 0 AS DOUBLE) AS hit_rate,
+                             gain / list_sum([1 / log2(r + 1) FOR r IN range(1, least(n_relevant, {K}) + 1)]) AS ndcg
+                      FROM item_hits) GROUP BY model, split, segment),
+            slots AS (
+                SELECT s.model, s.split, g.segment, count(*) AS slots, count(DISTINCT s.item_id) AS shown,
+                       sum(count(*)) OVER (PARTITION BY s.model, s.split) AS total
+                FROM shown s JOIN item_groups g ON g.item_id = s.item_id
+                WHERE s.k = 20 GROUP BY s.model, s.split, g.segment),
+            sizes AS (SELECT segment, count(*) AS n FROM item_groups GROUP BY segment)
+            SELECT 'overall' AS part, 'all' AS segment, model, split, k, recall, hit_rate, ndcg, coverage,
+                   CAST(NULL AS DOUBLE) AS recommendation_share, CAST(NULL AS DOUBLE) AS group_coverage, evaluated_users
+            FROM overall WHERE k = 20
+            UNION ALL
+            SELECT 'user', segment, model, split, CAST(20 AS INTEGER), recall, hit_rate, ndcg, coverage,
+                   NULL, NULL, evaluated_users FROM grouped_users
+            UNION ALL
+            SELECT 'item', m.segment, m.model, m.split, CAST(20 AS INTEGER), recall, hit_rate, ndcg, NULL,
+                   round(coalesce(s.slots, 0) / (SELECT any_value(x.total) FROM slots x WHERE x.model = m.model AND x.split = m.split), 6),
+                   round(coalesce(s.shown, 0) / z.n, 6), evaluated_users
+            FROM item_means m JOIN sizes z ON z.segment = m.segment
+            LEFT JOIN slots s ON s.model = m.model AND s.split = m.split AND s.segment = m.segment""").replace("\n\n            , grouped_users", ", grouped_users"),
     }

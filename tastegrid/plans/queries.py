@@ -111,33 +111,79 @@ def read_log(spark: SparkSession, folder: str) -> DataFrame:
     return log.select("user_id", "item_id", "event_time", "label", event)
 
 
+def _raw_logs(spark: SparkSession, folder: str) -> str:
+    """The three order logs as CSV under the public dataset's names, in one folder."""
+    root, logs = scratch_path(spark, "raw-logs"), X.orders_logs(spark, folder)
+    names = {sources.HISTORY_FILE: logs.history, sources.FUTURE_FILE: logs.future, sources.RANDOM_FILE: logs.audit}
+    for name, log in names.items():
+        log.select(
+            "user_id", F.col("item_id").alias("video_id"), _micros("event_time").alias("time_ms"),
+            F.col("label").alias("is_click"), "tie.l_orderkey", "tie.l_linenumber", "tie.l_suppkey",
+        ).write.option("header", True).csv(f"{root}/data/{name}")
+    return root
+
+
 @query
 def load_logs(spark: SparkSession, folder: str) -> DataFrame:
-    logs = X.orders_logs(spark, folder)
-    named = {"history": logs.history, "future": logs.future, "random_audit": logs.audit}
-    parts = [frame.select(F.lit(name).alias("log")) for name, frame in named.items()]
-    stacked = reduce(DataFrame.unionByName, parts)
-    return stacked.groupBy("log").agg(F.count(F.lit(1)).alias("interactions"))
+    """Every row and column that the loader finds in the three files."""
+    logs = sources.load_logs(spark, _raw_logs(spark, folder))
+    others = [F.col(name).cast("bigint").alias(name) for name in ("l_orderkey", "l_linenumber", "l_suppkey")]
+    parts = [
+        log.select(F.lit(name).alias("log"), "user_id", "item_id", "event_time", "label", *others)
+        for name, log in zip(("history", "future", "random_audit"), logs)
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def prepare(spark: SparkSession, folder: str) -> DataFrame:
+    """Splits and summary written from the raw files; the rows that are read back, by split."""
+    raw, processed = _raw_logs(spark, folder), scratch_path(spark, "processed")
+    jobs.prepare(spark, raw, processed)
+    summary = spark.read.json(f"{processed}/summary.json")
+    stacked = sources.load_prepared(spark, f"{processed}/splits").stacked()
+    read = stacked.groupBy("split").agg(
+        F.count(F.lit(1)).alias("rows_read"), F.sum("label").cast("bigint").alias("positives_read")
+    )
+    columns = [F.col(name).cast("bigint").alias(name) for name in ("interactions", "users", "items", "start_time", "end_time")]
+    rate = F.round("positive_rate", 6).alias("positive_rate")
+    return summary.select("split", *columns, rate).join(read, "split")
+
+
+def _unpivoted(table: DataFrame, side: str, key: str, texts: tuple, numbers: tuple) -> DataFrame:
+    """Feature columns as rows of side, id, feature, value and number."""
+    cells = [
+        F.struct(F.lit(name).alias("feature"), F.col(name).cast("string").alias("value"), F.lit(None).cast("double").alias("number"))
+        for name in texts
+    ] + [
+        F.struct(F.lit(name).alias("feature"), F.lit(None).cast("string").alias("value"), F.col(name).cast("double").alias("number"))
+        for name in numbers
+    ]
+    return table.select(F.lit(side).alias("side"), F.col(key).alias("id"), F.inline(F.array(*cells)))
 
 
 @query
 def load_features(spark: SparkSession, folder: str) -> DataFrame:
-    written = {}
-    for key, name, table in (
-        ("user_id", "customer", X.customer_features(spark, folder)),
-        ("item_id", "part", X.part_features(spark, folder)),
+    """Every feature column of both sides, from files that the loader looks up."""
+    root = scratch_path(spark, "raw-features")
+    for name, table, key, source_key in (
+        (sources.USER_FEATURE_FILE, X.customer_features(spark, folder), "user_id", "user_id"),
+        (sources.ITEM_FEATURE_FILE, X.part_features(spark, folder), "item_id", "video_id"),
     ):
-        path = scratch_path(spark, name)
-        table.withColumnRenamed(key, "id").write.option("header", True).csv(path)
-        written[name] = sources.read_features(spark, path, "id", key)
-    users, items = written["customer"], written["part"]
-    return users.select(
-        F.lit("user").alias("side"), F.col("user_id").alias("id"), F.col("segment").alias("category")
-    ).unionByName(
-        items.select(
-            F.lit("item").alias("side"), F.col("item_id").alias("id"), F.col("brand").alias("category")
-        )
-    )
+        table.withColumnRenamed(key, source_key).write.option("header", True).csv(f"{root}/data/{name}")
+    users, items = sources.load_features(spark, root)
+    found = _unpivoted(users, "user", "user_id", *USER_COLUMNS)
+    return found.unionByName(_unpivoted(items, "item", "item_id", *ITEM_COLUMNS))
+
+
+@query
+def splits_csv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """The CSV splits read back, with the tie key that orders equal times."""
+    path = scratch_path(spark, "csv-splits")
+    sinks.write_splits_csv(X.orders_logs(spark, folder).split(), path)
+    rows = sources.read_splits_csv(spark, path).stacked()
+    columns = ("split", "user_id", "item_id", "event_time", "label", "tie.l_orderkey", "tie.l_linenumber", "tie.l_suppkey")
+    return _timed(rows.select(*columns), "event_time")
 
 
 @query
@@ -288,18 +334,36 @@ def feature_join(spark: SparkSession, folder: str) -> DataFrame:
     return _customers(spark, folder)
 
 
+def _parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Items with features; the size of every seventh one is text that is no number."""
+    items = X.orders_log(spark, folder).select("item_id").distinct()
+    table = X.part_features(spark, folder)
+    size = F.when(F.col("item_id") % 7 == 0, F.lit("n/a")).otherwise(F.col("size").cast("string"))
+    return features.attach_features(items, table.withColumn("size", size), "item_id")
+
+
 @query
 def categorical_codes(spark: SparkSession, folder: str) -> DataFrame:
-    codes = features.category_codes(_customers(spark, folder), "user_id", list(USER_COLUMNS[0]))
-    return codes.select("user_id", "feature", "value", "code")
+    sides = (
+        ("user", "user_id", _customers(spark, folder), USER_COLUMNS[0]),
+        ("item", "item_id", _parts(spark, folder), ITEM_COLUMNS[0]),
+    )
+    found = [
+        features.category_codes(table, key, list(columns)).select(
+            F.lit(side).alias("side"), F.col(key).alias("id"), "feature", "value", "code"
+        )
+        for side, key, table, columns in sides
+    ]
+    return found[0].unionByName(found[1])
 
 
 @query
 def numeric_features(spark: SparkSession, folder: str) -> DataFrame:
-    scaled = features.numeric_features(
-        _customers(spark, folder), "user_id", list(USER_COLUMNS[1])
-    )
-    return _digits(scaled, "balance")
+    users = features.numeric_features(_customers(spark, folder), "user_id", list(USER_COLUMNS[1]))
+    items = features.numeric_features(_parts(spark, folder), "item_id", list(ITEM_COLUMNS[1]))
+    found = _unpivoted(users, "user", "user_id", (), USER_COLUMNS[1])
+    found = found.unionByName(_unpivoted(items, "item", "item_id", (), ITEM_COLUMNS[1]))
+    return _digits(found.drop("value"), "number")
 
 
 @query
@@ -393,12 +457,12 @@ def _neighbors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query
-def cooccurrence(spark: SparkSession, folder: str) -> DataFrame:
+def nearest_cooccurrence(spark: SparkSession, folder: str) -> DataFrame:
     return _neighbors(spark, folder).select("item_id", "neighbor_id", "co_count")
 
 
 @query
-def cooccurrence_all(spark: SparkSession, folder: str) -> DataFrame:
+def cooccurrence(spark: SparkSession, folder: str) -> DataFrame:
     return itemcf.cooccurrences(pairs.training(_train(spark, folder)).seen)
 
 
@@ -609,37 +673,60 @@ def evaluate_item_segments(spark: SparkSession, folder: str) -> DataFrame:
 # Jobs
 
 
-@query
-def benchmark(spark: SparkSession, folder: str) -> DataFrame:
+def _benchmark(spark: SparkSession, folder: str, names: tuple[str, ...]) -> DataFrame:
+    """All three result tables of the job as rows, told apart by `part`."""
     config = {
         "seed": SEED,
         "evaluation": {"k": K, "max_users": None},
-        "models": {"itemcf": {"neighbor_k": NEIGHBORS}},
+        "models": {
+            "itemcf": {"neighbor_k": NEIGHBORS},
+            "bpr": {"factors": 16, "epochs": 2, "learning_rate": 0.05},
+        },
     }
     splits = X.orders_logs(spark, folder).split()
     every = jobs.default_models(config["models"], SEED)
-    found = jobs.run_benchmark(splits, config, {name: every[name] for name in ("popularity", "itemcf")})
-    rows = found.overall.drop("label", *RUN_TIMES)
-    return _digits(rows, *metrics.METRICS, "coverage")
+    found = jobs.run_benchmark(splits, config, {name: every[name] for name in names})
+    shares = ("recommendation_share", "group_coverage")
+    columns = ["model", "split", "k", *metrics.METRICS, "coverage", *shares, "evaluated_users"]
+
+    def rows(part: str, table: DataFrame, segment: Column) -> DataFrame:
+        lacking = {name: F.lit(None).cast("double") for name in columns if name not in table.columns}
+        return table.withColumns(lacking).select(F.lit(part).alias("part"), segment.alias("segment"), *columns)
+
+    stacked = rows("overall", found.overall, F.lit("all"))
+    stacked = stacked.unionByName(rows("user", found.user_activity, F.col("segment")))
+    stacked = stacked.unionByName(rows("item", found.item_popularity, F.col("segment")))
+    return _digits(stacked, *metrics.METRICS, "coverage", *shares)
+
+
+@query
+def benchmark(spark: SparkSession, folder: str) -> DataFrame:
+    return _benchmark(spark, folder, ("popularity", "itemcf"))
+
+
+@query
+def benchmark_bpr(spark: SparkSession, folder: str) -> DataFrame:
+    return _benchmark(spark, folder, ("bpr",))
 
 
 @query
 def retrieval_variants(spark: SparkSession, folder: str) -> DataFrame:
     splits = X.orders_logs(spark, folder).split()
-    switches = {"id_only": (False, False), "feature_history": (True, True)}
     found = []
-    for variant, (with_features, with_history) in switches.items():
-        config = {
-            "seed": SEED,
-            "evaluation": {"k_values": [50, 100], "max_users": None},
-            "experiment": {
-                "variant": variant,
-                "use_user_features": with_features,
-                "use_item_features": with_features,
-                "use_history": with_history,
-            },
-            "model": {"embedding_dim": 16, "hidden_dim": 32, "feature_dim": 8, "epochs": 2},
-        }
-        run = jobs.run_retrieval(splits, config, *_feature_sets(spark, folder))
-        found.append(run.metrics.drop(*RUN_TIMES))
-    return _digits(found[0].unionByName(found[1]), *metrics.METRICS, "coverage")
+    for with_features in (False, True):
+        for with_history in (False, True):
+            kinds = [kind for kind, used in (("feature", with_features), ("history", with_history)) if used]
+            config = {
+                "seed": SEED,
+                "evaluation": {"k_values": [50, 100], "max_users": None},
+                "experiment": {
+                    "variant": "_".join(kinds) or "id_only",
+                    "use_user_features": with_features,
+                    "use_item_features": with_features,
+                    "use_history": with_history,
+                },
+                "model": {"embedding_dim": 16, "hidden_dim": 32, "feature_dim": 8, "epochs": 2},
+            }
+            run = jobs.run_retrieval(splits, config, *_feature_sets(spark, folder))
+            found.append(run.metrics.drop(*RUN_TIMES))
+    return _digits(reduce(DataFrame.unionByName, found), *metrics.METRICS, "coverage")

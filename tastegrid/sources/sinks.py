@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tastegrid.functions.columns import file_stem
 from tastegrid.operators.splits import SPLITS, Splits
+from tastegrid.sources.logs import CSV_TEXT
 
 
 def write_splits(splits: Splits, path: str) -> None:
@@ -16,12 +17,16 @@ def write_splits(splits: Splits, path: str) -> None:
 
 
 def write_splits_csv(splits: Splits, path: str) -> None:
-    """One folder of gzip CSV per split; nested columns are left out."""
+    """One folder of gzip CSV per split, and their schema; nested columns become JSON text."""
+    spark, schema = splits.train.sparkSession, splits.train.schema
+    nested = {field.name for field in schema if isinstance(field.dataType, T.StructType)}
     for name in SPLITS:
-        frame = getattr(splits, name)
-        nested = [f.name for f in frame.schema if isinstance(f.dataType, T.StructType)]
-        writer = frame.drop(*nested).write.mode("overwrite").option("header", True)
+        frame = getattr(splits, name).select(
+            *(F.to_json(column).alias(column) if column in nested else F.col(column) for column in schema.names)
+        )
+        writer = frame.write.mode("overwrite").option("header", True).options(**CSV_TEXT)
         writer.option("compression", "gzip").csv(f"{path}/{name}.csv.gz")
+    spark.range(1).select(F.lit(schema.json()).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/schema")
 
 
 def write_summary(summary: DataFrame, path: str) -> None:
