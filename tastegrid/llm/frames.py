@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from tastegrid.session import scratch_path
+from tastegrid.session import discard, scratch_path
 
 CHUNK_BYTES = 1 << 18
 #: Ids that are broadcast to a join; with more, both sides are shuffled.
@@ -33,9 +33,7 @@ def temporary(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _WRITTEN.reset(token)
-        hadoop, context = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
-        for path in written:
-            hadoop(path).getFileSystem(context).delete(hadoop(path), True)
+        discard(spark, *written)
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -47,6 +45,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Delete a table that `materialize` wrote before the block around it ends."""
+    files = df.inputFiles()
+    if files:
+        discard(df.sparkSession, files[0].rpartition("/")[0])
+
+
 def few(ids: DataFrame) -> DataFrame:
     """`ids`, to be broadcast if they are at most BROADCAST_IDS rows."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids

@@ -29,11 +29,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tastegrid.llm.components import components
-from tastegrid.llm.frames import add_columns, columns_of, few, materialize, pieces, release, temporary
+from tastegrid.llm.frames import add_columns, columns_of, drop_table, few, materialize, pieces, release, temporary
 from tastegrid.llm.text import mixed, shingles, words
 from tastegrid.session import materialize as keep
 
@@ -100,10 +100,18 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 [pa.array([set_code(own) for own in sets], pa.int64()), _lists(sets)], ["set_id", "codes"]
             )
 
+    def sets_of(rows: DataFrame) -> DataFrame:
+        found = rows.select("text").mapInArrow(run, "set_id long, codes array<long>")
+        return found.join(wanted.select("set_id"), "set_id", "left_semi")
+
     ids = few(wanted.select("doc_id").distinct())
-    chosen = docs.join(ids, "doc_id", "left_semi").select("text")
-    found = chosen.mapInArrow(run, "set_id long, codes array<long>")
-    return found.join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"])
+    chosen = docs.join(ids, "doc_id", "left_semi")
+    again = materialize(chosen.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    if again.isEmpty():  # one row for each class
+        return sets_of(chosen)
+    again = few(again)
+    once = sets_of(chosen.join(again, "doc_id", "left_anti"))
+    return once.unionByName(sets_of(chosen.join(again, "doc_id", "left_semi"))).dropDuplicates(["set_id"])
 
 
 class InvertedIndex:
@@ -251,19 +259,22 @@ def _led(keys: DataFrame) -> DataFrame:
 
 
 def _first_links(led: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of each class with LEADERS members of the group that it shares most keys with."""
+    """Links of each class with about LEADERS members of the group that it shares most keys with."""
     shared = led.where("set_id <> leader")
     best = shared.groupBy("set_id").agg(F.min_by("leader", F.struct(-F.col("n"), F.col("leader"))).alias("leader"))
     best = materialize(best)
     counts = best.groupBy("leader").agg(F.count("*").alias("n"))
     blocks = counts.select("leader", F.expr(f"cast((n - 1) div {BLOCK} + 1 as int)").alias("blocks"))
-    members = best.join(blocks, "leader").select(
-        F.col("leader").alias("g1"), F.pmod(F.xxhash64("set_id"), "blocks").cast("int").alias("g2"), F.lit(2).alias("role"), "set_id",
+    sized = best.join(counts, "leader").join(blocks, "leader")
+    # about LEADERS of them, all if there are no more
+    chosen = F.pmod(F.xxhash64("set_id", F.lit(LEADERS)), "n") < LEADERS
+    members = sized.select(
+        F.col("leader").alias("g1"), F.pmod(F.xxhash64("set_id"), "blocks").cast("int").alias("g2"),
+        F.when(chosen & (F.col("blocks") == 1), 3).otherwise(2).alias("role"), "set_id",
     )
-    order = Window.partitionBy("leader").orderBy(F.xxhash64("set_id"), "set_id")
-    some = best.withColumn("place", F.row_number().over(order)).where(F.col("place") < LEADERS).drop("place")
-    chosen = some.unionByName(blocks.select(F.col("leader").alias("set_id"), "leader"))
-    queries = chosen.join(blocks, "leader").select(
+    elsewhere = sized.where(chosen & (F.col("blocks") > 1)).select("leader", "set_id", "blocks")
+    asked = elsewhere.unionByName(blocks.select("leader", F.col("leader").alias("set_id"), "blocks"))
+    queries = asked.select(
         F.col("leader").alias("g1"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("g2"), F.lit(1).alias("role"), "set_id",
     )
     rows = members.union(queries).join(sets, "set_id").withColumns({"g3": F.lit(0), "component": F.col("set_id")})
@@ -317,13 +328,15 @@ def _grouped(docs: DataFrame, key: str, length: int, percent: int) -> DataFrame:
     """Rows of doc_id, set_id, n_shingles and component_id, one per row of `docs`."""
     frame = docs.select(F.col(key).cast("long").alias("doc_id"), "text")
     with temporary(docs.sparkSession):
-        found = materialize(sketches(frame, length, percent))
+        found = sketches(frame, length, percent)
         classes = found.where("n_shingles > 0").groupBy("set_id").agg(
             F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")
         )
-        classes = materialize(classes)
-        keys = materialize(_keys(classes, percent))
-        wanted = keys.select("set_id").distinct().join(classes.select("set_id", "doc_id"), "set_id")
+        whole = materialize(classes)
+        keys = materialize(_keys(whole, percent))
+        classes = materialize(whole.select("set_id", "doc_id"))
+        drop_table(whole)
+        wanted = materialize(keys.select("set_id").distinct().join(classes, "set_id"))
         sets = materialize(whole_sets(frame, wanted, length))
         led = materialize(_led(keys))
         first = components(_first_links(led, sets, percent))
