@@ -93,6 +93,12 @@ def vector_mean(column: Column, width: int) -> Column:
     return F.array(*[F.avg(entry) for entry in dimensions(column, width)])
 
 
+def text_code(*parts: Column) -> Column:
+    """A 60-bit number from the text of values, alike in every engine with md5."""
+    text = F.concat_ws(":", *[part.cast("string") for part in parts])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+
 def gaussian_vector(key: Column, width: int, scale: float, seed: int) -> Column:
     """A normal draw per dimension that depends on the key and seed alone."""
 

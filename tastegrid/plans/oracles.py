@@ -2,7 +2,75 @@
 
 from __future__ import annotations
 
-K, NEIGHBORS, HISTORY, SEED, PARTS = 20, 100, 20, 2026, 4
+K, NEIGHBORS, HISTORY, SEED, PARTS, FACTORS = 20, 100, 20, 2026, 4, 4
+
+
+def _code(text: str) -> str:
+    """A 60-bit number from a text."""
+    return f"CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT)"
+
+
+def _drawn(text: str) -> str:
+    """A number from -0.5 to 0.5 from a text."""
+    return f"({_code(text)} / {float(1 << 60)!r} - 0.5)"
+
+
+def _layer(name: str, inputs: str, width_in: int, width_out: int) -> str:
+    """The outputs of a dense layer with drawn weights."""
+    column = "[" + ", ".join(_drawn(f"concat('{name}:{row}:', c)") for row in range(width_in)) + "]"
+    cell = f"list_dot_product({inputs}, {column}) + " + _drawn(f"concat('{name}:b:', c)")
+    return f"[{cell} FOR c IN range({width_out})]"
+
+
+def _relu(values: str) -> str:
+    return f"[greatest(x, 0.0) FOR x IN {values}]"
+
+
+def _vector(kind: str, key: str, width: int) -> str:
+    return f"[{_drawn(f"concat('{kind}:', {key}, ':', p)")} FOR p IN range({width})]"
+
+
+def _unit(source: str, key: str) -> str:
+    """Lists `raw` divided by their length."""
+    return f"""SELECT {key}, [x / greatest(sqrt(list_dot_product(raw, raw)), 1e-12) FOR x IN raw] AS v FROM ({source})"""
+
+
+def _tower(side: str, inputs: str, joined: int) -> str:
+    hidden = _relu(_layer(f"{side}_hidden", inputs, joined, 4))
+    return _layer(f"{side}_out", hidden, 4, 3)
+
+
+def _bpr_epoch() -> str:
+    """An epoch of turns, each a step from the vectors of the last."""
+    sql = _negatives() + f"""
+        , rows AS (
+            SELECT user_id, item_id, negative_id,
+                   (part - {_code("CAST(user_id AS VARCHAR)")} % {PARTS} + {PARTS}) % {PARTS} AS turn FROM negatives),
+        s0 AS (
+            SELECT kind, key, d, {_drawn("concat(kind, ':', key, ':', d)")} AS v
+            FROM (SELECT DISTINCT 'user' AS kind, user_id AS key FROM seen UNION ALL SELECT 'item', item_id FROM items),
+                 (SELECT unnest(range({FACTORS})) AS d))"""
+    for turn in range(PARTS):
+        sql += f"""
+        , x{turn} AS (
+            SELECT r.user_id, r.item_id, r.negative_id, u.d, u.v AS u, i.v AS i, j.v AS j,
+                   sum(u.v * (i.v - j.v)) OVER (PARTITION BY r.user_id, r.item_id) AS margin
+            FROM rows r JOIN s{turn} u ON u.kind = 'user' AND u.key = r.user_id
+            JOIN s{turn} i ON i.kind = 'item' AND i.key = r.item_id AND i.d = u.d
+            JOIN s{turn} j ON j.kind = 'item' AND j.key = r.negative_id AND j.d = u.d
+            WHERE r.turn = {turn}),
+        c{turn} AS (
+            SELECT 'user' AS kind, user_id AS key, d, 0.05 * ((i - j) / (1 + exp(margin)) - 0.01 * u) AS c FROM x{turn}
+            UNION ALL SELECT 'item', item_id, d, 0.05 * (u / (1 + exp(margin)) - 0.01 * i) FROM x{turn}
+            UNION ALL SELECT 'item', negative_id, d, 0.05 * (-u / (1 + exp(margin)) - 0.01 * j) FROM x{turn}),
+        s{turn + 1} AS (
+            SELECT s.kind, s.key, s.d, s.v + coalesce(t.c, 0.0) AS v FROM s{turn} s
+            LEFT JOIN (SELECT kind, key, d, sum(c) AS c FROM c{turn} GROUP BY kind, key, d) t
+                 ON t.kind = s.kind AND t.key = s.key AND t.d = s.d)"""
+    losses = " UNION ALL ".join(f"SELECT ln(1 + exp(-margin)) AS loss FROM x{turn} WHERE d = 0" for turn in range(PARTS))
+    return sql + f"""
+        SELECT kind, CAST(key AS VARCHAR) AS key, CAST(d AS INTEGER) AS place, round(v, 6) AS value FROM s{PARTS}
+        UNION ALL SELECT 'stat', 'loss:0', CAST(0 AS INTEGER), round(avg(loss), 6) FROM ({losses})"""
 
 # Named parts; each lists the parts it reads.
 _PARTS: dict[str, tuple[tuple[str, ...], str]] = {
@@ -134,6 +202,57 @@ _PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "attached": (("customers", "customer_table"), """
         SELECT u.user_id, t.segment, t.nation, t.balance
         FROM customers u LEFT JOIN customer_table t ON t.user_id = u.user_id"""),
+    # Features and vectors of a small tower; widths 3 (ids), 4 (hidden), 2 (features).
+    "user_cells": (("learned", "customer_table"), """
+        SELECT u.user_id, coalesce(c.segment, '__MISSING__') AS a, coalesce(CAST(c.nation AS VARCHAR), '__MISSING__') AS b,
+               c.balance AS x
+        FROM (SELECT DISTINCT user_id FROM learned) u LEFT JOIN customer_table c ON c.user_id = u.user_id"""),
+    "item_cells": (("items",), """
+        SELECT i.item_id, coalesce(p_brand, '__MISSING__') AS a, coalesce(p_type, '__MISSING__') AS b,
+               CAST(p_size AS DOUBLE) AS x, CAST(p_retailprice AS DOUBLE) AS y
+        FROM items i LEFT JOIN part ON p_partkey = i.item_id"""),
+    "learned": (("train",), "SELECT * FROM train"),
+    "item_tower": (("item_cells",), f"""
+        SELECT item_id, v FROM (
+        {_unit("SELECT item_id, " + _tower("item", "list_concat(" + _vector("item", "item_id", 3) + ", projected)", 5) + """ AS raw
+            FROM (SELECT item_id, """ + _relu(_layer("item_proj", "flat", 6, 2)) + """ AS projected
+                FROM (SELECT item_id, list_concat(list_concat(""" + _vector("item_feature", "ea", 2) + ", " + _vector("item_feature", "eb", 2) + """), [sx, sy]) AS flat
+                    FROM (SELECT item_id, dense_rank() OVER (ORDER BY a) - 1 AS ea,
+                                 (SELECT count(DISTINCT a) FROM item_cells) + dense_rank() OVER (ORDER BY b) - 1 AS eb,
+                                 (lx - avg(lx) OVER ()) / stddev_pop(lx) OVER () AS sx,
+                                 (ly - avg(ly) OVER ()) / stddev_pop(ly) OVER () AS sy
+                        FROM (SELECT *, sign(x) * ln(1 + abs(x)) AS lx, sign(y) * ln(1 + abs(y)) AS ly
+                            FROM (SELECT item_id, a, b, coalesce(x, median(x) OVER ()) AS x,
+                                         coalesce(y, median(y) OVER ()) AS y FROM item_cells)))))""", "item_id")})"""),
+    "user_projected": (("user_cells",), f"""
+        SELECT user_id, {_relu(_layer("user_proj", "flat", 5, 2))} AS projected
+        FROM (SELECT user_id, list_concat(list_concat({_vector("user_feature", "ea", 2)}, {_vector("user_feature", "eb", 2)}), [sx]) AS flat
+            FROM (SELECT user_id, dense_rank() OVER (ORDER BY a) - 1 AS ea,
+                         (SELECT count(DISTINCT a) FROM user_cells) + dense_rank() OVER (ORDER BY b) - 1 AS eb,
+                         (lx - avg(lx) OVER ()) / stddev_pop(lx) OVER () AS sx
+                FROM (SELECT *, sign(x) * ln(1 + abs(x)) AS lx
+                    FROM (SELECT user_id, a, b, coalesce(x, median(x) OVER ()) AS x FROM user_cells))))"""),
+    "histories": (("firsts",), f"""
+        SELECT user_id, item_id, nth, list(item_id) OVER (PARTITION BY user_id ORDER BY nth
+                   ROWS BETWEEN {HISTORY} PRECEDING AND 1 PRECEDING) AS before,
+               list(item_id) OVER (PARTITION BY user_id ORDER BY nth
+                   ROWS BETWEEN {HISTORY - 1} PRECEDING AND CURRENT ROW) AS upto,
+               count(*) OVER (PARTITION BY user_id) AS n
+        FROM (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id
+                  ORDER BY event_time, l_orderkey, l_linenumber, item_id, l_suppkey, l_shipdate) AS nth FROM firsts)"""),
+    "asked": (("histories",), """
+        SELECT user_id, item_id, coalesce(before, []) AS history FROM histories
+        UNION ALL SELECT user_id, NULL, upto FROM histories WHERE nth = n"""),
+    "history_means": (("asked", "item_tower"), """
+        SELECT a.user_id, a.item_id, [coalesce(p0, 0.0), coalesce(p1, 0.0), coalesce(p2, 0.0)] AS history
+        FROM asked a LEFT JOIN (
+            SELECT h.user_id, h.item_id, avg(t.v[1]) AS p0, avg(t.v[2]) AS p1, avg(t.v[3]) AS p2
+            FROM (SELECT user_id, item_id, unnest(history) AS met FROM asked) h JOIN item_tower t ON t.item_id = h.met
+            GROUP BY h.user_id, h.item_id) m ON m.user_id = a.user_id AND m.item_id IS NOT DISTINCT FROM a.item_id"""),
+    "user_tower": (("history_means", "user_projected"), f"""
+        SELECT user_id, item_id, v FROM (
+        {_unit("SELECT q.user_id, q.item_id, " + _tower("user", "list_concat(list_concat(" + _vector("user", "q.user_id", 3) + ", q.history), f.projected)", 8) + """ AS raw
+            FROM history_means q JOIN user_projected f ON f.user_id = q.user_id""", "user_id, item_id")})"""),
     "sold": (("log",), """
         SELECT i.item_id, p_brand AS brand, p_type AS kind,
                CASE WHEN i.item_id % 7 <> 0 THEN CAST(p_size AS DOUBLE) END AS size,
@@ -186,6 +305,25 @@ def _with(needed: tuple[str, ...], body: str) -> str:
     return f"WITH {ctes}\n{body}"
 
 
+def _negatives() -> str:
+    """The first unseen one of forty drawn items of the part of each pair's item."""
+    return _with(("seen", "items"), f"""
+        , parted AS (
+            SELECT item_id, CAST({_code("concat(item_id, ':0')")} % {PARTS} AS INTEGER) AS part FROM items),
+        positions AS (
+            SELECT item_id, part, row_number() OVER (PARTITION BY part ORDER BY item_id) - 1 AS position,
+                   count(*) OVER (PARTITION BY part) AS size FROM parted),
+        tries AS (
+            SELECT s.user_id, s.item_id, p.part, a.attempt,
+                   {_code(f"concat(s.user_id, ':', s.item_id, ':{SEED}:0:', a.attempt)")} % p.size AS position
+            FROM seen s JOIN positions p USING (item_id) CROSS JOIN (SELECT unnest(range(40)) AS attempt) a),
+        negatives AS (
+            SELECT t.user_id, t.item_id, t.part, arg_min(p.item_id, t.attempt) AS negative_id
+            FROM tries t JOIN positions p ON p.part = t.part AND p.position = t.position
+            ANTI JOIN seen s ON s.user_id = t.user_id AND s.item_id = p.item_id
+            GROUP BY t.user_id, t.item_id, t.part)""").replace("\n\n        , parted", ", parted")
+
+
 # Item neighbors of the click log, whole or of its history.
 def _click_cf(log: str, neighbor_k: int) -> str:
     return f"""
@@ -398,22 +536,27 @@ def oracle_queries() -> dict[str, str]:
             FROM clicks c JOIN (SELECT user_id, count(*) AS n_items FROM clicks GROUP BY user_id) n
                  ON n.user_id = c.user_id
             WHERE n.n_items < (SELECT count(DISTINCT item_id) FROM click_log)"""),
-        "bpr_negatives": _with(("seen", "items"), f"""
-            , parted AS (
-                SELECT item_id, CAST(CAST('0x' || substr(md5(concat(item_id, ':0')), 1, 15) AS BIGINT) % {PARTS}
-                       AS INTEGER) AS part FROM items),
-            positions AS (
-                SELECT item_id, part, row_number() OVER (PARTITION BY part ORDER BY item_id) - 1 AS position,
-                       count(*) OVER (PARTITION BY part) AS size FROM parted),
-            tries AS (
-                SELECT s.user_id, s.item_id, p.part, a.attempt, CAST('0x' || substr(md5(
-                           concat(s.user_id, ':', s.item_id, ':{SEED}:0:', a.attempt)), 1, 15) AS BIGINT)
-                       % p.size AS position
-                FROM seen s JOIN positions p USING (item_id) CROSS JOIN (SELECT unnest(range(40)) AS attempt) a)
-            SELECT t.user_id, t.item_id, t.part, CAST(0 AS INTEGER) AS shift, arg_min(p.item_id, t.attempt) AS negative_id
-            FROM tries t JOIN positions p ON p.part = t.part AND p.position = t.position
-            ANTI JOIN seen s ON s.user_id = t.user_id AND s.item_id = p.item_id
-            GROUP BY t.user_id, t.item_id, t.part""").replace("\n\n            , parted", ", parted"),
+        "bpr_negatives": _negatives() + """
+            SELECT user_id, item_id, part, CAST(0 AS INTEGER) AS shift, negative_id FROM negatives""",
+        "bpr_epoch": _bpr_epoch(),
+        "tower_vectors": _with(("item_tower", "user_tower"), """
+            SELECT side, id, CAST(place - 1 AS INTEGER) AS place, round(v[place], 5) AS value
+            FROM (SELECT 'item' AS side, item_id AS id, v FROM item_tower
+                  UNION ALL SELECT 'user', user_id, v FROM user_tower WHERE item_id IS NULL),
+                 (SELECT unnest([1, 2, 3]) AS place)"""),
+        "first_epoch_loss": _with(("item_tower", "user_tower"), f"""
+            , dealt AS (
+                SELECT u.user_id, u.item_id, u.v AS u, i.v AS v,
+                       {_code("concat(u.user_id, ':', u.item_id, ':0')")} % n.blocks AS block, n.blocks
+                FROM user_tower u JOIN item_tower i ON i.item_id = u.item_id,
+                     (SELECT CAST(ceil(count(*) / 400.0) AS BIGINT) AS blocks FROM user_tower WHERE item_id IS NOT NULL) n
+                WHERE u.item_id IS NOT NULL)
+            SELECT CAST(any_value(blocks) AS INTEGER) AS blocks, round(avg(loss), 4) AS loss FROM (
+                SELECT a.user_id, a.item_id, any_value(a.blocks) AS blocks,
+                       ln(sum(exp(list_dot_product(a.u, b.v) / 0.07))) - list_dot_product(any_value(a.u), any_value(a.v)) / 0.07 AS loss
+                FROM dealt a JOIN dealt b ON a.block = b.block
+                WHERE a.item_id <> b.item_id OR a.user_id = b.user_id
+                GROUP BY a.user_id, a.item_id)""").replace("\n\n            , dealt", ", dealt"),
         "hits": _with(("popular", "truth_validation"), """
             SELECT r.user_id, CAST(r.rank AS INTEGER) AS rank, r.item_id,
                    CAST(t.item_id IS NOT NULL AS INTEGER) AS hit

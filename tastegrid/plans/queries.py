@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastegrid.functions.columns import norm, unit
+from tastegrid.functions.columns import norm, text_code, unit
 from tastegrid.operators import bpr, features, itemcf, metrics, pairs, retrieval, segments
 from tastegrid.operators import splits as cuts
 from tastegrid.operators.popularity import PopularityRecommender
@@ -25,6 +27,7 @@ KS = [5, 10, 20]
 NEIGHBORS = 100
 HISTORY = 20
 PARTS = 4
+FACTORS = 4
 SEED = 2026
 RUN_TIMES = ("fit_seconds", "milliseconds_per_user")
 USER_COLUMNS = (("segment", "nation"), ("balance",))
@@ -526,6 +529,30 @@ def bpr_topk(spark: SparkSession, folder: str) -> DataFrame:
     return model.recommend(pairs.users_of(log), K)
 
 
+def _hashed(text: Column) -> Column:
+    """A number from -0.5 to 0.5 that SQL can draw as well."""
+    return text_code(text) / float(1 << 60) - 0.5
+
+
+def _hashed_state(keys: DataFrame, width: int) -> DataFrame:
+    entries = [_hashed(F.concat_ws(":", "kind", "key", F.lit(place))) for place in range(width)]
+    return keys.select("kind", "key", F.array(*entries).alias("vector"))
+
+
+@query
+def bpr_epoch(spark: SparkSession, folder: str) -> DataFrame:
+    """All vectors and the loss after one epoch from hashed vectors, a step per block."""
+    data = pairs.training(_train(spark, folder))
+    eligible = materialize(bpr.eligible_pairs(data.seen, data.popularity.count()))
+    model = bpr.BPRRecommender(factors=FACTORS, learning_rate=0.05, regularization=0.01, batch_size=1 << 30, seed=SEED)
+    kinds = (("user", eligible.select("user_id").distinct()), ("item", data.items))
+    keys = [ids.select(F.lit(kind).alias("kind"), F.col(f"{kind}_id").cast("string").alias("key")) for kind, ids in kinds]
+    state = _hashed_state(keys[0].unionByName(keys[1]), FACTORS)
+    state = model.train_epoch(data, eligible, state, PARTS)
+    rows = state.withColumn("vector", F.when(F.col("kind") == "stat", F.array(F.col("vector")[0] / F.col("vector")[1])).otherwise(F.col("vector")))
+    return _digits(rows.select("kind", "key", F.posexplode("vector").alias("place", "value")), "value")
+
+
 def _feature_sets(spark: SparkSession, folder: str) -> tuple[Features, Features]:
     return (
         Features(X.customer_features(spark, folder), *USER_COLUMNS),
@@ -554,6 +581,45 @@ def train_loss(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _hashed_tower(spark: SparkSession, folder: str, **settings) -> TwoTowerRecommender:
+    """A small model with features and history, and hashed parameters to start from."""
+    model = TwoTowerRecommender(embedding_dim=3, hidden_dim=4, feature_dim=2, max_history=HISTORY, seed=SEED, **settings)
+    model.prepare(_train(spark, folder), "label", *_feature_sets(spark, folder))
+    ids, values = model.state_keys()
+    model.start = materialize(_hashed_state(ids, 3).unionByName(_hashed_state(values, 2)))
+
+    def drawn(text: str) -> float:
+        return int(hashlib.md5(text.encode()).hexdigest()[:15], 16) / float(1 << 60) - 0.5
+
+    model.drawn = {}
+    for name, (rows, columns) in model.layers().items():
+        cells = [[drawn(f"{name}:{row}:{column}") for column in range(columns)] for row in range(rows)]
+        model.drawn[f"{name}_w"] = np.array(cells)
+        model.drawn[f"{name}_b"] = np.array([drawn(f"{name}:b:{column}") for column in range(columns)])
+    return model
+
+
+@query
+def tower_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Unit vectors of all items and users with positives, from hashed parameters."""
+    model = _hashed_tower(spark, folder)
+    model.loaded(model.start, model.drawn)
+    users = model.user_vectors(pairs.users_of(model.data.seen))
+    found = [
+        vectors.select(F.lit(side).alias("side"), F.col(f"{side}_id").alias("id"), F.posexplode("vector").alias("place", "value"))
+        for side, vectors in (("item", model.item_vectors), ("user", users))
+    ]
+    return _digits(found[0].unionByName(found[1]), "value", digits=5)
+
+
+@query
+def first_epoch_loss(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean loss of an epoch of one round with a batch per block, from hashed parameters."""
+    model = _hashed_tower(spark, folder, epochs=1, rounds=1, block_rows=400, batch_size=1 << 20)
+    model.train(model.start, model.drawn)
+    return spark.range(1).select(F.lit(model.n_blocks).alias("blocks"), F.round(F.lit(model.losses[0]), 4).alias("loss"))
+
+
 # Metrics
 
 
