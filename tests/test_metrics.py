@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 
@@ -89,26 +90,48 @@ def test_nan_labels_and_null_ids_are_not_positive(spark):
     assert [tuple(r) for r in pairs.positive_pairs(log, "like").collect()] == [(1, 2)]
 
 
-def test_segments_are_complete_and_valid(spark):
-    lists = {0: [10, 12], 1: [11, 13], 2: [12, 13]}
-    truth = pairs_frame(spark, [(0, 10), (1, 13), (2, 12)])
+def test_segment_rows_equal_counting(spark):
+    rng = random.Random(21)
+    k, catalog = 4, range(15)
+    lists = {user: rng.sample(catalog, 6) for user in range(12)}
+    truth = {user: set(rng.sample(catalog, rng.randint(1, 5))) for user in range(12)}
+    user_group = {user: rng.choice(["low", "high"]) for user in range(9)}  # the others have no positives
+    item_group = {item: rng.choice(["head", "mid", "tail"]) for item in catalog}
     recs, users = recs_of(spark, lists), users_of(spark, lists)
-    by_user = spark.createDataFrame([(0, "low"), (1, "high")], "user_id bigint, segment string")
-    rows = segments.evaluate_user_segments(
-        recs, truth, users, by_user, items_of(spark, range(10, 14)), 2
-    ).collect()
-    assert {r["segment"]: r["evaluated_users"] for r in rows} == {
-        "zero_positive": 1, "low": 1, "high": 1,
-    }
-    by_item = spark.createDataFrame(
-        [(10, "head"), (11, "head"), (12, "mid"), (13, "tail")], "item_id bigint, segment string"
-    )
-    rows = segments.evaluate_item_segments(recs, truth, users, by_item, 2).collect()
-    assert {r["segment"] for r in rows} == {"head", "mid", "tail"}
-    assert sum(r["recommendation_share"] for r in rows) == pytest.approx(1.0)
-    assert all(0.0 <= r["group_coverage"] <= 1.0 for r in rows)
-    head = next(r for r in rows if r["segment"] == "head")
-    assert head["catalog_items"] == 2 and head["group_coverage"] == 1.0 and head["recall"] == 1.0
+    true = pairs_frame(spark, [(user, item) for user, items in truth.items() for item in items])
+
+    def scores(shown, relevant):
+        hits = [item in relevant for item in shown]
+        ideal = sum(1 / math.log2(rank + 2) for rank in range(min(len(relevant), k)))
+        gain = sum(hit / math.log2(rank + 2) for rank, hit in enumerate(hits))
+        return sum(hits) / len(relevant), float(any(hits)), gain / ideal
+
+    def mean(rows):
+        return [sum(column) / len(rows) for column in zip(*rows)]
+
+    by_user = spark.createDataFrame(list(user_group.items()), "user_id bigint, segment string")
+    found = segments.evaluate_user_segments(recs, true, users, by_user, items_of(spark, catalog), k).collect()
+    groups = {user: user_group.get(user, "zero_positive") for user in lists}
+    assert {row["segment"] for row in found} == set(groups.values())
+    for row in found:
+        own = [user for user in lists if groups[user] == row["segment"]]
+        want = mean([scores(lists[user][:k], truth[user]) for user in own])
+        want.append(len({item for user in own for item in lists[user][:k]}) / 15)
+        assert [row[name] for name in (*metrics.METRICS, "coverage")] == pytest.approx(want)
+        assert row["evaluated_users"] == len(own)
+
+    by_item = spark.createDataFrame(list(item_group.items()), "item_id bigint, segment string")
+    found = segments.evaluate_item_segments(recs, true, users, by_item, k).collect()
+    slots = [item for user in lists for item in lists[user][:k]]
+    assert {row["segment"] for row in found} == {item_group[item] for items in truth.values() for item in items}
+    for row in found:
+        inside = {item for item in catalog if item_group[item] == row["segment"]}
+        own = [user for user in lists if truth[user] & inside]
+        want = mean([scores(lists[user][:k], truth[user] & inside) for user in own])
+        want += [sum(item in inside for item in slots) / len(slots), len(inside & set(slots)) / len(inside)]
+        names = (*metrics.METRICS, "recommendation_share", "group_coverage")
+        assert [row[name] for name in names] == pytest.approx(want)
+        assert (row["evaluated_users"], row["catalog_items"]) == (len(own), len(inside))
 
 
 def test_cutoffs_interpolate(spark):

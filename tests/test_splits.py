@@ -103,6 +103,25 @@ def test_csv_sink_writes_gzip_per_split(spark, tmp_path):
     assert sorted(row["event_time"] for row in back.collect()) == ["12", "13"]
 
 
+def test_csv_splits_come_back_with_their_order(spark, tmp_path):
+    texts = ["a,b", 'say "so"', "", None, "two\nlines", " x "]
+    rows = [(at, at % 3, at // 2, at % 2, (at, text), text) for at, text in enumerate(texts)]
+    schema = "user_id bigint, item_id bigint, event_time bigint, label int, tie struct<a: int, b: string>, note string"
+    frame = spark.createDataFrame(rows, schema)
+    sinks.write_splits_csv(cuts.Splits(frame, frame.limit(2), frame.limit(1), frame), str(tmp_path))
+    back = sources.read_splits_csv(spark, str(tmp_path))
+    assert back.train.schema == frame.schema
+    assert back.train.orderBy("event_time", "tie").collect() == frame.orderBy("event_time", "tie").collect()
+    spark.range(1).write.mode("overwrite").option("header", True).csv(str(tmp_path / "test.csv.gz"))
+    with pytest.raises(ValueError, match="columns"):
+        sources.read_splits_csv(spark, str(tmp_path))
+
+
+def test_a_folder_of_part_files_counts_as_one_file(spark, tmp_path):
+    spark.range(5).repartition(3).write.csv(str(tmp_path / "deep" / "log.csv"))
+    assert sources.find_unique_file(spark, str(tmp_path), "log.csv").endswith("/deep/log.csv")
+
+
 def test_missing_split_is_reported(spark, tmp_path):
     path = str(tmp_path / "part")
     found = split(spark, HISTORY, FUTURE)
@@ -121,9 +140,9 @@ def test_reader_checks_files_and_columns(spark, tmp_path):
     with pytest.raises(ValueError, match="is_click"):
         sources.read_log(spark, found)
     (tmp_path / "b" / "log.csv").write_text("user_id,video_id,time_ms,is_click\n")
-    with pytest.raises(RuntimeError, match="more than one"):
+    with pytest.raises(RuntimeError, match="not unique"):
         sources.find_unique_file(spark, str(tmp_path), "log.csv")
-    with pytest.raises(ValueError, match="no interactions"):
+    with pytest.raises(ValueError, match="is empty"):
         sources.read_log(spark, str(tmp_path / "b" / "log.csv"))
 
 
