@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tastegrid.session import materialize
@@ -49,45 +51,54 @@ def count_quantiles(counts: DataFrame, column: str, levels: list[float]) -> list
     return [round(cut, 9) for cut in row["cuts"]]
 
 
-def exact_medians(
-    df: DataFrame, columns: list[str], accuracy: int = 10_000
-) -> dict[str, float | None]:
-    """Exact median of each double column; nulls are left out.
+def exact_medians(df: DataFrame, columns: list[str], bins: int = 1024) -> dict[str, float | None]:
+    """Exact median of each column of finite doubles; nulls are left out.
 
-    A mergeable sketch brackets the middle in one pass. Only rows inside the
-    bracket, about 4 / accuracy of them, are then ordered.
+    Each pass counts the values of all columns in equal bins between the
+    bounds known so far. Count, least and largest value of each bin, at most
+    `bins` rows per column, come to the driver; the bin that holds the middle
+    gives the next bounds. Its least and largest value part in every pass.
     """
-    margin = 2.0 / accuracy
-    levels = f"array({0.5 - margin!r}D, {0.5 + margin!r}D)"
-    sketch = df.agg(
-        *[F.count(name).alias(f"n_{at}") for at, name in enumerate(columns)],
-        *[
-            F.expr(f"percentile_approx(`{name}`, {levels}, {accuracy})").alias(f"b_{at}")
-            for at, name in enumerate(columns)
-        ],
-    ).first()
+    bounds = df.agg(*[F.struct(F.count(name), F.min(name), F.max(name)) for name in columns]).first()
     medians: dict[str, float | None] = {}
-    for at, name in enumerate(columns):
-        total, bracket = sketch[f"n_{at}"], sketch[f"b_{at}"]
-        medians[name] = _median_between(df, name, total, *bracket) if total else None
-    return medians
+    open_: dict[str, tuple[float, float, int, int]] = {}  # bounds, values below, values in all
+    for name, (total, low, high) in zip(columns, bounds):
+        if not total or low == high:
+            medians[name] = low
+        else:
+            open_[name] = low, high, 0, total
+    while open_:
+        cells = F.array(*[_cell(name, low, high, bins) for name, (low, high, *_) in open_.items()])
+        counted = (
+            df.select(F.explode(cells).alias("cell")).where("cell.bin IS NOT NULL")
+            .groupBy("cell.name", "cell.bin")
+            .agg(F.count(F.lit(1)).alias("n"), F.min("cell.value").alias("low"), F.max("cell.value").alias("high"))
+        )
+        found: dict[str, list] = {name: [] for name in open_}
+        for row in counted.collect():
+            found[row["name"]].append(row)
+        for name, rows in found.items():
+            _, _, through, total = open_.pop(name)
+            lower, upper = (total - 1) // 2, total // 2
+            for row in sorted(rows, key=lambda row: row["bin"]):
+                before, through = through, through + row["n"]
+                if lower < before == upper:  # the lower middle is the largest value so far
+                    medians[name] = (largest + row["low"]) / 2.0
+                    break
+                if upper < through and (row["low"] == row["high"]):
+                    medians[name] = row["low"]
+                    break
+                if lower < through and upper < through:
+                    open_[name] = row["low"], row["high"], before, total
+                    break
+                largest = row["high"]
+    return {name: medians[name] for name in columns}
 
 
-def _median_between(df: DataFrame, name: str, total: int, low: float, high: float) -> float:
+def _cell(name: str, low: float, high: float, bins: int) -> Column:
+    """Name, value and bin of a column's value; no bin outside the bounds."""
     value = F.col(name)
-    lower, upper = (total - 1) // 2, total // 2
-    below = df.filter(value < low).count()
-    inside = (
-        df.filter(value.between(low, high))
-        .groupBy(value.alias("value"))
-        .agg(F.count(F.lit(1)).alias("rows"))
-    )
-    running = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ends = inside.withColumn("end", F.sum("rows").over(running) + F.lit(below))
-    found = ends.agg(
-        F.min(F.when(F.col("end") > lower, F.col("value"))).alias("lower"),
-        F.min(F.when(F.col("end") > upper, F.col("value"))).alias("upper"),
-    ).first()
-    if below > lower or found["upper"] is None:
-        raise ArithmeticError(f"the sketch of {name!r} missed its median")
-    return (found["lower"] + found["upper"]) / 2.0
+    part = 1.0 if math.isfinite(high - low) else 0.5  # the distance of two doubles may be none
+    share = (value * part - F.lit(low * part)) / F.lit(high * part - low * part)
+    place = F.least(F.greatest(F.floor(share * bins), F.lit(0)), F.lit(bins - 1)).cast("int")
+    return F.struct(F.lit(name).alias("name"), F.when(value.between(low, high), place).alias("bin"), value.alias("value"))

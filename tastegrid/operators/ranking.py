@@ -14,6 +14,7 @@ from tastegrid.functions.columns import is_finite
 from tastegrid.operators.ordering import ordered_index
 from tastegrid.session import materialize
 
+_LIMITED = "spark.sql.optimizer.windowGroupLimitThreshold"
 HEAD_SIZE = 65_536  # ranks kept in the broadcast head; a few MB at most
 
 
@@ -26,9 +27,13 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
 
     `scores` has user_id, item_id, score and place. The rank limit runs
     before the shuffle too, so a user with many candidates sends k rows per
-    map task.
+    map task. Spark does so up to a k of its session, which is raised to this
+    one where it is smaller.
     """
     require_k(k)
+    spark = scores.sparkSession
+    if int(spark.conf.get(_LIMITED, "1000")) < k:
+        spark.conf.set(_LIMITED, str(k))
     by_user = Window.partitionBy("user_id").orderBy(*score_order())
     return (
         scores.filter(is_finite(F.col("score")))

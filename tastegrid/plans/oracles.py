@@ -457,6 +457,12 @@ def oracle_queries() -> dict[str, str]:
                 ORDER BY event_time, l_orderkey, l_linenumber, item_id, l_suppkey, l_shipdate
                 ROWS BETWEEN {HISTORY} PRECEDING AND 1 PRECEDING), ','), '') AS history
             FROM firsts"""),
+        "strict_history": _with(("firsts",), f"""
+            SELECT user_id, item_id, coalesce(array_to_string(list_slice(met, greatest(len(met) - {HISTORY - 1}, 1), len(met)), ','), '') AS history
+            FROM (SELECT a.user_id, a.item_id, list(b.item_id ORDER BY b.event_time, b.l_orderkey, b.l_linenumber, b.item_id,
+                         b.l_suppkey, b.l_shipdate) FILTER (WHERE b.item_id IS NOT NULL) AS met
+                  FROM firsts a LEFT JOIN firsts b ON b.user_id = a.user_id AND b.event_time < a.event_time
+                  GROUP BY a.user_id, a.item_id)"""),
         "serving_history": _with(("firsts",), f"""
             SELECT user_id, array_to_string(list(item_id ORDER BY back DESC), ',') AS history
             FROM (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id

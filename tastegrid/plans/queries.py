@@ -376,6 +376,14 @@ def causal_history(spark: SparkSession, folder: str) -> DataFrame:
     return histories.select("user_id", "item_id", _listed("history"))
 
 
+@query
+def strict_history(spark: SparkSession, folder: str) -> DataFrame:
+    """Histories without items of the same time; many orders share a date."""
+    firsts = pairs.first_positive(_train(spark, folder))
+    histories = features.causal_history(firsts, HISTORY, strict_time=True)
+    return histories.select("user_id", "item_id", _listed("history"))
+
+
 @query
 def serving_history(spark: SparkSession, folder: str) -> DataFrame:
     firsts = pairs.first_positive(_train(spark, folder))

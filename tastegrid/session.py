@@ -40,7 +40,17 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, "table")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete what `materialize` wrote for these very frames; others are left alone."""
+    for table in tables:
+        path = getattr(table, "_written", None)
+        if path is not None:
+            discard(table.sparkSession, path)
 
 
 def discard(spark: SparkSession, *paths: str) -> None:

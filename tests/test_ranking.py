@@ -66,18 +66,31 @@ def test_top_k_orders_and_drops_infinite_scores(spark):
         ranking.top_k(scores, 0)
 
 
-def test_medians_are_exact(spark):
+@pytest.mark.parametrize("bins", [2, 1024])
+def test_medians_of_many_columns_are_exact(spark, bins):
     rng = np.random.default_rng(4)
-    for size in (1, 2, 999, 1000):
-        values = np.round(rng.lognormal(size=size), 2)
-        frame = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double")
-        found = ordering.exact_medians(frame, ["x"], accuracy=50)["x"]
-        assert found == pytest.approx(float(np.median(values)), abs=1e-12)
-
-
-def test_medians_of_an_empty_column(spark):
-    frame = spark.createDataFrame([(None,)], "x double")
-    assert ordering.exact_medians(frame, ["x"]) == {"x": None}
+    size = 200
+    columns = {
+        "spread": rng.lognormal(sigma=20, size=size), "ties": rng.integers(0, 3, size).astype(float),
+        "extreme": rng.choice([-1.7e308, 1.7e308, 5e-324, -0.0, 1.0], size), "same": np.full(size, 2.5),
+        "near": 1.0 + rng.integers(0, 4, size) * 2.0**-52, "odd": rng.normal(size=size), "few": rng.normal(size=size),
+    }
+    rows = [[float(values[at]) for values in columns.values()] for at in range(size)]
+    for at in range(size):
+        rows[at][5] = rows[at][5] if at else None
+        rows[at][6] = rows[at][6] if at < 2 else None
+    frame = spark.createDataFrame(rows, ", ".join(f"{name} double" for name in columns)).repartition(3)
+    found = ordering.exact_medians(frame, list(columns), bins)
+    for place, name in enumerate(columns):
+        held = sorted(row[place] for row in rows if row[place] is not None)
+        middle = held[(len(held) - 1) // 2], held[len(held) // 2]
+        assert found[name] == (middle[0] if middle[0] == middle[1] else sum(middle) / 2), name
+
+
+def test_medians_of_nothing(spark):
+    frame = spark.createDataFrame([(None, 1.0)], "x double, y double")
+    assert ordering.exact_medians(frame, ["x", "y"]) == {"x": None, "y": 1.0}
+    assert ordering.exact_medians(frame.limit(0), ["x", "y"]) == {"x": None, "y": None}
 
 
 def test_item_popularity_fills_zero(spark):
