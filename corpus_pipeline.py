@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,26 @@ SHINGLE_WORDS, LEAST_ALIKE = 5, 80
 MIX = mixing.Mix(mixing.DEFAULT_WEIGHTS, percent=60, max_epochs=1)
 
 
+#: Rows that Spark hands to Python at a time; of whole documents its default number is tens of MB.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def stage(function: Stage) -> Stage:
+    """A stage that bounds the batches of its session, which is asked when its result is written."""
+
+    @wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if not 0 < int(spark.conf.get(_BATCH, "10000")) <= BATCH_ROWS:
+            spark.conf.set(_BATCH, str(BATCH_ROWS))
+        return function(spark, docs, sf_dir)
+
+    return run
+
+
+@stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts without a letter and texts of no likely language; fill null languages.
 
@@ -29,6 +50,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*(filled if name == "lang" else column for name, column in zip(docs.columns, columns_of(docs))))
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest id of each group of linked documents, and what links with nothing.
 
@@ -38,6 +60,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return jaccard.keep_one(docs, length=SHINGLE_WORDS, percent=LEAST_ALIKE)
 
 
+@stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold an item of the benchmark.
 
@@ -47,6 +70,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.drop_leaked(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take documents from the tree of sources until the budget of tokens is spent.
 
@@ -56,6 +80,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(docs, MIX, prefix="__mix_").select(*columns_of(docs))
 
 
+@stage
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Write token ids and offsets and read them back, a row per document.
 
@@ -66,7 +91,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", tokens.crc32_of("ids").alias("ids_crc32"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("language_id", language),
     ("jaccard_join", near_duplicates),
     ("decontamination", decontamination),
@@ -82,6 +107,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     with temporary(spark):
-        for _, stage in STAGES[:-1]:
-            docs = materialize(stage(spark, docs, sf_dir))
+        for _, step in STAGES[:-1]:
+            docs = materialize(step(spark, docs, sf_dir))
         return keep(STAGES[-1][1](spark, docs, sf_dir))
