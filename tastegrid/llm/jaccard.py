@@ -6,7 +6,9 @@ of the shingles that all sets share, the first few of one (one more than it may
 lack) hold one that is in the other. The order here is rarity: documents give
 out their shingles below a fixed hash value (and as many as they may lack, if
 those are few), shingles seen once come first and link nothing, and the rarest
-of the others become the document's keys. Documents under one key form a list.
+of the others become the document's keys. What has keys then gives out all its
+shingles, which are counted anew among these documents, so that only a document
+that really shares enough of them keeps keys. Documents under one key form a list.
 
 Lists are searched as DivideSkip does: a query needs T common shingles; the
 longest of its inverted lists are set aside, the short ones are merged, what
@@ -17,7 +19,7 @@ Equal sets are one class. Lists with the same smallest class, their leader, are
 one group. Each class is first compared with a few members of one group only,
 and the classes so linked become components. In the groups that still hold
 several components, all members outside the largest one are queries against all
-members, in blocks. So a large group of near copies is not compared pair by
+members, in blocks bounded by the shingles they hold. So a large group of near copies is not compared pair by
 pair, and no link that would join two components is lost. A task leaves out
 links inside what it has joined already, so it gives out fewer links than it
 has components.
@@ -29,7 +31,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tastegrid.llm.components import components
@@ -39,14 +41,15 @@ from tastegrid.session import materialize as keep
 
 WORDS = 4
 PERCENT = 85
-#: Share of all hash values below which shingles are given out.
-SAMPLED = 0.22
+#: Share of all hash values below which shingles are given out first, as a multiple of the share a set may lack.
+SAMPLED = 1.3
 #: Members of a list that are searched at a time, and how many such blocks one after another.
 BLOCK = 256
 RUN = 16
+#: Shingles of a member up to which a block takes more members, in place of longer ones.
+MEMBER_CODES = 2048
 #: Members of each group that the others are compared with first.
 LEADERS = 16
-_LIMIT = np.uint64(int(SAMPLED * 2**64))
 
 
 def needed(size, percent: int):
@@ -76,10 +79,11 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 def sketches(docs: DataFrame, length: int, percent: int) -> DataFrame:
     """Rows of doc_id, n_shingles, set_id and the shingles given out."""
+    limit = np.uint64(min(int(SAMPLED * (100 - percent) / 100 * 2**64), 2**64 - 1))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, sets in _sets(batches, length):
-            kept = [own[: max(int(np.searchsorted(own, _LIMIT)), len(own) - needed(len(own), percent) + 1)] for own in sets]
+            kept = [own[: max(int(np.searchsorted(own, limit)), len(own) - needed(len(own), percent) + 1)] for own in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     piece.column("doc_id"), pa.array([len(own) for own in sets], pa.int32()),
@@ -281,17 +285,23 @@ def _first_links(led: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _search_groups(rows, percent)
 
 
+def _blocks(n: str, codes: str) -> Column:
+    """Blocks of `n` sets that hold `codes` shingles: of BLOCK sets, or of more sets if they are short."""
+    return F.expr(f"cast(least(({n} - 1) div {BLOCK}, ({codes} - 1) div {BLOCK * MEMBER_CODES}) + 1 as int)")
+
+
 def _later_links(led: DataFrame, named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between components that meet under a leader."""
-    listed = materialize(led.select("leader", "set_id").join(named, "set_id"))
-    parts = listed.groupBy("leader", "component").agg(F.count("*").alias("n"))
+    placed = named.join(sets.select("set_id", "size"), "set_id")
+    listed = materialize(led.select("leader", "set_id").join(placed, "set_id"))
+    parts = listed.groupBy("leader", "component").agg(F.count("*").alias("n"), F.sum("size").alias("codes"))
     groups = parts.groupBy("leader").agg(
-        F.count("*").alias("components"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("largest")
+        F.count("*").alias("components"), F.sum("n").alias("n"), F.sum("codes").alias("codes"),
+        F.max(F.struct("n", "component", "codes")).alias("largest"),
     )
     sized = groups.where("components > 1").select(
-        "leader", F.col("largest.component").alias("largest"),
-        F.expr(f"cast((n - 1) div {BLOCK} + 1 as int)").alias("blocks"),
-        F.expr(f"cast((n - largest.n - 1) div {BLOCK} + 1 as int)").alias("parts"),
+        "leader", F.col("largest.component").alias("largest"), _blocks("n", "codes").alias("blocks"),
+        _blocks("(n - largest.n)", "(codes - largest.codes)").alias("parts"),
     )
     rows = listed.join(sized, "leader").withColumn("outside", F.expr("component <> largest"))
     small = rows.where("blocks = 1").select(
@@ -309,7 +319,7 @@ def _later_links(led: DataFrame, named: DataFrame, sets: DataFrame, percent: int
         (place % F.col("blocks")).cast("int").alias("g3"), F.lit(2).alias("role"),
     )
     every = small.unionByName(queries).unionByName(indexed)
-    return _search_groups(every.join(sets, "set_id"), percent)
+    return _search_groups(every.join(sets.select("set_id", "codes"), "set_id"), percent)
 
 
 def join_groups(docs: DataFrame, key: str = "doc_id", length: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -333,11 +343,15 @@ def _grouped(docs: DataFrame, key: str, length: int, percent: int) -> DataFrame:
             F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")
         )
         whole = materialize(classes)
-        keys = materialize(_keys(whole, percent))
+        first_keys = _keys(whole, percent).select("set_id").distinct()
         classes = materialize(whole.select("set_id", "doc_id"))
+        wanted = materialize(first_keys.join(classes, "set_id"))
         drop_table(whole)
-        wanted = materialize(keys.select("set_id").distinct().join(classes, "set_id"))
-        sets = materialize(whole_sets(frame, wanted, length))
+        every = materialize(whole_sets(frame, wanted, length).withColumn("size", F.size("codes")))
+        keys = materialize(_keys(every.toDF("set_id", "sketch", "n_shingles"), percent))
+        # what shares less than it must with all others together is left out
+        sets = materialize(every.join(few(keys.select("set_id").distinct()), "set_id", "left_semi"))
+        drop_table(every)
         led = materialize(_led(keys))
         first = components(_first_links(led, sets, percent))
         named = keys.select("set_id").distinct().join(first.withColumnRenamed("node", "set_id"), "set_id", "left")

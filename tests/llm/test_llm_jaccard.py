@@ -125,3 +125,44 @@ def test_a_chain_whose_members_do_not_link_with_most_others(spark, monkeypatch):
     draw.shuffle(rows)
     want = brute(rows)
     assert {row[2] for row in want} == {0} and found(rows_of(spark, rows)) == want
+
+
+def searched(monkeypatch):
+    """Where the numbers of rows are noted that the search of groups is given."""
+    counted, search = [], jaccard._search_groups
+    monkeypatch.setattr(jaccard, "_search_groups", lambda rows, percent: counted.append(rows.count()) or search(rows, percent))
+    return counted
+
+
+def test_rows_searched_are_in_proportion_to_a_group_of_short_texts(spark, monkeypatch):
+    """Near copies of which hardly any link are not copied once per 8 others."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "LEADERS", 2)
+    counted = searched(monkeypatch)
+    draw = random.Random(12)
+    base = text_of(draw, 40).split()
+    per_text = []
+    for size in (80, 240):
+        rows = []
+        for doc in range(size):
+            own = list(base)
+            for place in draw.sample(range(40), 2):
+                own[place] = text_of(draw, 1)
+            rows.append((doc, " ".join(own), "en", "src0"))
+        counted.clear()
+        assert found(rows_of(spark, rows)) == brute(rows)
+        per_text.append(counted[-1] / size)
+    assert per_text[1] < 1.6 * max(per_text[0], 1)
+
+
+def test_a_passage_of_many_texts_does_not_make_them_a_group(spark, monkeypatch):
+    """A third of each text is in all, too little for a link; the near copies among them are found."""
+    counted = searched(monkeypatch)
+    draw = random.Random(13)
+    passage = text_of(draw, 60)
+    rows = [(doc, f"{text_of(draw, 120)} {passage}", "en", "src0") for doc in range(150)]
+    rows += [(doc + 150, rows[doc][1] + " more", "en", "src0") for doc in range(3)]
+    got = sorted((tuple(row) for row in jaccard.join_groups(rows_of(spark, rows), length=5, percent=80).collect()), key=str)
+    want = brute(rows, 5, 80)
+    assert got == want and sum(row[0] != row[2] for row in want) == 3
+    assert sum(counted) <= 12
